@@ -105,6 +105,28 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+#: Rows of a table of keys up to which it is broadcast; beyond, the join shuffles and Spark splits skewed keys.
+BROADCAST_ROWS = 20_000
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Joins many rows, some keys of which may be very frequent, with a table of ``cut`` of one row a key. Null equals null.
+
+    The key table is read from disk, so on either way both inputs of a shuffled join are plain exchanges,
+    whose skewed partitions Spark splits.
+    """
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    right = keys.select(*(F.col(n).alias(f"{n}__key") for n in names), *(c for c in keys.columns if c not in names))
+    on = [rows[n].eqNullSafe(right[f"{n}__key"]) for n in names]
+    return rows.join(right, on, how).drop(*(f"{n}__key" for n in names))
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``doc``, so that no column of the input clashes with those that are added; _row as in ``with_row_key``."""
+    return with_row_key(docs.select(F.struct("*").alias("doc")))
+
+
 def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
     """A key for each row, also for rows that are equal in all columns. The input must be a table, so that reruns of a task see its rows in the same order."""
     return docs.withColumn(name, F.monotonically_increasing_id())

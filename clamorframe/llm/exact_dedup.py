@@ -49,6 +49,7 @@ def groups(docs: DataFrame) -> DataFrame:
     doc = common.with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_row", "text")
     heads = doc.mapInArrow(_first_digits, "_row long, _bytes long, _digit binary")
     shared = heads.groupBy("_bytes", "_digit").agg(F.min("_row").alias("_group"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    shared = common.cut(shared, "shared")
     whole = doc.mapInArrow(_whole, "doc_id long, _row long, _points long, _bytes long, _digit binary, text_sha256 string, _rest binary")
     state = whole.join(shared, ["_bytes", "_digit"], "left")
     is_open = F.col("_group").isNotNull() & (F.col("_bytes") > FIRST_DIGIT)
@@ -61,7 +62,7 @@ def groups(docs: DataFrame) -> DataFrame:
         at += width
         live = state.where("_rest is not null").withColumn("_digit", F.substring("_rest", 1, width))
         parts = live.groupBy("_group", "_digit").agg(F.min("_row").alias("_next"), F.count("*").alias("_n"))
-        split = live.join(parts, ["_group", "_digit"])
+        split = live.join(common.cut(parts, "parts"), ["_group", "_digit"])
         is_open = (F.col("_n") > 1) & (F.col("_bytes") > at)
         state = common.cut(
             split.select("doc_id", "_row", "_points", "text_sha256", "_bytes", F.when(F.col("_n") > 1, F.col("_next")).alias("_group"), F.when(is_open, F.substring("_rest", width + 1, 2**31 - 1)).alias("_rest")),
@@ -84,7 +85,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = groups(docs)
     order = F.struct("_points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("_row").alias("r"))
     best = rows.where("_group is not null").groupBy("_group").agg(F.count("*").alias("_size"), F.max(order).alias("_best"))
-    joined = rows.join(best, "_group", "left")
+    joined = rows.join(common.cut(best, "best"), "_group", "left")
     alone = F.col("_group").isNull()
     return joined.select(
         "doc_id",
@@ -99,7 +100,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, with all their columns."""
     kept = exact_dedup(docs).where("kept").select("_row")
-    return common.with_row_key(docs).join(kept, "_row", "left_semi").drop("_row")
+    return common.wrapped(docs).join(kept, "_row", "left_semi").select("doc.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

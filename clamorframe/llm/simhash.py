@@ -116,14 +116,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least = member.groupBy("root").agg(F.min("least").alias("linked"))
     linked = member.join(least, "root").select("fp", "linked")
     own = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    return prints.join(own, "fp").select("doc_id", "_row", "fp", "component_id")
+    return prints.join(common.cut(own, "classes"), "fp").select("doc_id", "_row", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (of repeated rows the first)."""
     rows = near_groups(docs)
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
-    return common.with_row_key(docs).join(first.select("_row"), "_row", "left_semi").drop("_row")
+    return common.wrapped(docs).join(first.select("_row"), "_row", "left_semi").select("doc.*")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
