@@ -20,7 +20,7 @@ RATIO, LEAST = 1.04, 1e-4
 #: A document fails where a measure is above the third quartile by so many interquartile ranges, and above the floor.
 REACH = 6.0
 #: Measures and their floors: below it no document differs enough from its source to be judged.
-FLOORS = {"symbols": 0.08, "repeats": 0.30, "dup_lines": 0.30, "capitals": 0.40}
+FLOORS = {"symbols": 0.05, "repeats": 0.40, "dup_lines": 0.50, "capitals": 0.40}
 #: Documents that a sketch needs to give thresholds.
 ENOUGH = 200
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, hmm, lines, mixing, packing, quality, rans, secrets, simhash, substrings
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_rans_token_files": rans.op8_rans_token_files,
+    "op9_line_dedup": lines.op9_line_dedup,
+    "op10_hmm_scores": hmm.op10_hmm_scores,
 }
 
+#: The others are not expressible in SQL; tests hold them against plain Python.
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clamorframe.llm import common, exact_dedup, packing, simhash
+from clamorframe.llm import common, exact_dedup, mixing, packing, quality, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +16,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_of_each(docs)
+    """Words in fives, as near-duplicate stages take them."""
+    return simhash.keep_one_of_each(docs, shingle=5)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.take(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact), ("SimHash near-dedup", near), ("best-fit packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
 
 #: Packing, mixing and SimHash are not expressible in SQL; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
