@@ -49,11 +49,13 @@ def _cover() -> np.ndarray:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [(x or "").encode().split() for x in batch.column(2).to_pylist()]
-        joined = [b" ".join(x) for x in parts]
-        names = ["doc_id", "_row", "n_words", "kept_sha256"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in parts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in joined])], names=names)
+    for batch in common.slices(batches):
+        counts, digests = [], []
+        for text in batch.column(2):
+            parts = (text.as_py() or "").encode().split()
+            counts.append(len(parts))
+            digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests)], names=["doc_id", "_row", "n_words", "kept_sha256"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +99,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_row, text, hits): words left when the windows at ``hits`` are taken out."""
-    for batch in batches:
+    for batch in common.slices(batches):
         out = []
         for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             parts = (text or "").encode().split()
