@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -64,7 +66,9 @@ def _delete_own_tables() -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps before the next one writes its own."""
+    gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,12 +130,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     again = common.cut(anchors.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     common.release_shuffles(docs.sparkSession)
     marks = anchors.join(again, "h").groupBy("_row").agg(F.collect_list("at").alias("marks"))  # a document's own anchors
-    marks = marks.join(state.where("not _copy").select("_row"), "_row")
-    marked = common.cut(doc.select("_id", "_row", "text").join(common.cut(marks, "marks"), "_row").select("_id", "_row", "text", "marks"), "marked")
+    marks = common.cut(marks.join(state.where("not _copy").select("_row"), "_row"), "marks")
+    common.release_shuffles(docs.sparkSession)
+    marked = common.cut(doc.select("_id", "_row", "text").join(marks, "_row").select("_id", "_row", "text", "marks"), "marked")
     common.release_shuffles(docs.sparkSession)
     windows = common.cut(marked.mapInArrow(_windows, "h long, g long, _id long, _row long, at int"), "windows")
     owner = windows.groupBy("h", "g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
-    hits = windows.join(common.cut(owner, "owner"), ["h", "g"]).where("_first < _id").groupBy("_row").agg(F.collect_list("at").alias("hits"))
+    owner = common.cut(owner, "owner")
+    common.release_shuffles(docs.sparkSession)
+    hits = windows.join(owner, ["h", "g"]).where("_first < _id").groupBy("_row").agg(F.collect_list("at").alias("hits"))
     hits = common.cut(hits, "hits")
     common.drop_cut(windows)
     common.release_shuffles(docs.sparkSession)
