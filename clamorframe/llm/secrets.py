@@ -220,8 +220,8 @@ def fit(features: np.ndarray, tags: np.ndarray, steps: int = 200, rate: float =
 
 # --- training sample ------------------------------------------------------------------------------------
 
-#: Passages of each sort in the training sample, and their words.
-SAMPLE, PASSAGE = 500, 24
+#: Passages of each sort in the training sample, their words, and documents that may give those with spans.
+SAMPLE, PASSAGE, LOOKED_AT = 500, 24, 200_000
 
 
 def _holders(column: pa.Array) -> np.ndarray:
@@ -277,9 +277,11 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field trained on ``sample`` passages with spans and ``sample`` without at most, those of least hash."""
     schema = "sort boolean, _row long, own array<int>, before array<int>, behind array<int>, file int, tags array<int>"
-    held = docs.select("_row", "text").mapInArrow(_around_spans, schema).where("sort")
-    plain = docs.orderBy(F.xxhash64("_row")).limit(sample).select("_row", "text").mapInArrow(_passages, schema).where("not sort")
-    rows = held.orderBy(F.xxhash64("_row"), "_row").limit(sample).collect() + plain.collect()
+    n = max(docs.count(), 1)
+    draw = F.pmod(F.xxhash64("_row"), F.lit(1 << 40)) / float(1 << 40)
+    held = docs.where(draw < min(1.0, LOOKED_AT / n)).select("_row", "text").mapInArrow(_around_spans, schema).where("sort")
+    plain = docs.where(draw < min(1.0, 2 * sample / n)).select("_row", "text").mapInArrow(_passages, schema).where("not sort")
+    rows = held.orderBy(draw, "_row").limit(sample).collect() + plain.orderBy(draw, "_row").limit(sample).collect()
     if not any(r["sort"] for r in rows):
         w = np.zeros((N_FEATURES, TAGS))
         w[0] = (100.0, 0.0, 0.0)  # nothing to learn from: everything is outside
