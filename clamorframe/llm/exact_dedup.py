@@ -100,7 +100,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, with all their columns."""
     kept = exact_dedup(docs).where("kept").select("_row")
-    return common.wrapped(docs).join(kept, "_row", "left_semi").select("doc.*")
+    return common.wrapped(docs).join(kept.hint("merge"), "_row", "left_semi").select("doc.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

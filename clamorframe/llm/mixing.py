@@ -142,7 +142,7 @@ def take(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it does."""
     chosen = copies(docs).where("copies > 0").select("_row", "copies")
     again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return common.wrapped(docs).join(chosen, "_row").select("doc", again.alias("copy")).select("doc.*")
+    return common.wrapped(docs).join(chosen.hint("merge"), "_row").select("doc", again.alias("copy")).select("doc.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (of repeated rows the first)."""
     rows = near_groups(docs, shingle)
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
-    return common.wrapped(docs).join(first.select("_row"), "_row", "left_semi").select("doc.*")
+    return common.wrapped(docs).join(first.select("_row").hint("merge"), "_row", "left_semi").select("doc.*")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
