@@ -49,6 +49,19 @@ def drop_cut(df: DataFrame) -> None:
         _own_tables[:] = [x for x in _own_tables if x[1] != path]
 
 
+def cuts_made(function: Callable[[], DataFrame]) -> tuple[DataFrame, list[tuple[SparkSession, str]]]:
+    """What ``function`` returns, and the tables that it cut on the way."""
+    before = set(_own_tables)
+    out = function()
+    return out, [x for x in _own_tables if x not in before]
+
+
+def drop_tables(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        _delete(spark, path)
+    _own_tables[:] = [x for x in _own_tables if x not in tables]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

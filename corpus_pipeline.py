@@ -7,23 +7,45 @@ from pyspark.sql import DataFrame, SparkSession
 from clamorframe.llm import common, exact_dedup, mixing, packing, quality, simhash
 
 
+#: Scratch tables of the stage before: its rows have been written when the next stage begins.
+_scratch: list = []
+
+
+def stage(function):
+    """A stage that first drops the scratch tables of the stage before."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.drop_tables(_scratch)
+        common.release_shuffles(spark)
+        out, made = common.cuts_made(lambda: function(spark, docs, sf_dir))
+        _scratch[:] = made
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first_copies(docs)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in fives, as near-duplicate stages take them."""
     return simhash.keep_one_of_each(docs, shingle=5)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
@@ -43,8 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's rows written and read again."""
     docs = common.documents(spark, sf_dir)
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for at, (_, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = common.cut(docs, "stage")
     return docs
