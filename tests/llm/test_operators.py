@@ -1,0 +1,136 @@
+"""Corpus operators against plain Python on small tables with nulls, repeats and clashing columns."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+
+from clamorframe.llm import exact_dedup, hmm, lines, mixing, packing, quality, rans, secrets, simhash, substrings
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, n_words string"
+
+
+def rows():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, n)) for n in (60, 80, 120, 300, 5)]
+    shared = " ".join(rng.choice(words, 70))
+    texts += [f"{texts[0]} {shared} end", f"start {shared}", texts[2], texts[2].replace(" ", "\n"), "", None, "é a\n\nb c\nd e", "password = abcdef123 x", "AKIA" + "A1" * 9]
+    texts += ["line one\nline two\nline three\nline four\n" * 2 + t for t in texts[3:5]]
+    texts.append(texts[8])  # many lines again
+    out = [(i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", None, "x", "y") for i, t in enumerate(texts)]
+    return [*out, out[2], (None, texts[1], "en", "s1", 3, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("d") / "docs.parquet")
+    spark.createDataFrame(rows(), SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+OPERATORS = [packing.pack, secrets.scan, quality.quality_rules, quality.keep_good, simhash.near_groups, simhash.keep_one_of_each, substrings.dedup, exact_dedup.exact_dedup, exact_dedup.keep_first_copies, mixing.mix, mixing.take, lines.dedup, hmm.score]
+
+
+@pytest.mark.parametrize("operator", OPERATORS, ids=lambda f: f"{f.__module__.rpartition('.')[2]}.{f.__name__}")
+def test_empty(docs, operator):
+    assert operator(docs.where("doc_id < -1")).collect() == []
+
+
+def test_packing(docs):
+    got = packing.pack(docs, capacity=64).toPandas()
+    assert got.groupby("sequence_id")["length"].sum().max() <= 64
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert ((ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"]) == ordered["offset"]).all()
+    assert got["piece"].eq(0).sum() == len(rows())
+
+
+def test_packing_is_optimal_on_small_counts():
+    counts = np.zeros(11, np.int64)
+    counts[[7, 5, 3, 2]] = [3, 4, 3, 6]
+    plan = packing.complete_bins(counts, 10)
+    assert sum(t for _, t in plan) == packing.lower_bound(counts, 10)
+
+
+def test_rans_round_trip():
+    rng = np.random.default_rng(1)
+    ids = rng.zipf(1.3, 70_000).clip(max=999).astype(np.uint32)
+    coder = rans.Coder(rans.quantise(np.bincount(ids, minlength=1000)), lanes=32, rows=64)
+    payload = coder.encode(ids)
+    assert (coder.decode(payload) == ids).all()
+    assert (coder.decode(payload, 2) == ids[2 * 64 * 32 : 3 * 64 * 32]).all()
+    assert len(coder.encode(np.zeros(0, np.uint32))) > 0
+
+
+def test_rans_files(docs):
+    got = rans.read(*rans.write(docs)).collect()
+    assert len(got) == len(rows()) and {r["doc_id"] for r in got} == {r[0] for r in rows()}
+    assert sorted((r["start"] + r["n_tokens"]) for r in got)[:-1] == sorted(r["start"] for r in got)[1:]
+
+
+def test_exact(docs):
+    got = exact_dedup.exact_dedup(docs).collect()
+    key = lambda t: "".join((t or "").split())
+    groups = {}
+    for r in rows():
+        groups.setdefault(hashlib.sha256(key(r[1]).encode()).hexdigest(), []).append(r)
+    assert sum(r["kept"] for r in got) == len(groups)
+    assert all(r["group_size"] == len(groups[r["text_sha256"]]) for r in got)
+
+
+def test_substrings(docs):
+    texts = {r[0]: (r[1] or "").split() for r in rows() if r[0] is not None}
+    got = {r["doc_id"]: r for r in substrings.dedup(docs).where("doc_id is not null").collect()}
+    first = {}
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - 49):
+            first.setdefault(tuple(texts[d][i : i + 50]), d)
+    for d, w in texts.items():
+        gone = {k for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for k in range(i, i + 50)}
+        assert got[d]["n_removed"] == len(gone)
+
+
+def test_cover():
+    assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
+
+
+def test_lines(docs):
+    got = {r["doc_id"]: r for r in lines.dedup(docs).where("doc_id is not null").collect()}
+    seen, removed = set(), 0
+    for d, text in sorted({r[0]: r[1] for r in rows() if r[0] is not None}.items()):
+        fresh = [c for c in lines.chunks(text) if not (lines.shared(c) and c in seen)]
+        seen |= {c for c in lines.chunks(text) if lines.shared(c)}
+        removed += got[d]["n_removed_chunks"]
+        if d != rows()[2][0]:  # that row is there twice
+            assert got[d]["kept_sha256"] == hashlib.sha256(b"\n".join(fresh)).hexdigest()
+    assert removed > 0
+    assert all(b"\n".join(lines.chunks(t)).decode() == t for t in ("a\nb\n\nc", "x", "\n\n", "é\n"))
+
+
+def test_mixing(docs):
+    got = mixing.mix(docs).toPandas()
+    assert (got["taken"] <= 2 * got["size"]).all() and (got["target"] <= 2 * got["source_size"] + 1e-6).all()
+    assert mixing.take(docs).columns == docs.columns
+
+
+def test_secrets():
+    spans = secrets.base_spans('x Password = "abc_def" secret=token: abcdefgh AKIA' + "B" * 16 + " " + "0a" * 12)
+    assert [k for k, _, _ in spans] == ["assign", "access", "hex"]
+
+
+def test_scores(docs):
+    got = hmm.score(docs).collect()
+    assert all(r["score"] < 0 and r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in got)
+
+
+def test_near(docs):
+    got = simhash.near_groups(docs).toPandas()
+    prints = got["fp"].to_numpy().view(np.uint64)
+    for i in range(len(got)):
+        near = got["component_id"][np.bitwise_count(prints ^ prints[i]) <= 3]
+        assert near.nunique() == 1
+
+
+def test_quality(docs):
+    assert len(quality.quality_rules(docs).collect()) == len(rows())
