@@ -93,15 +93,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     summary = common.cut(doc.select("doc_id", "_row", "text").mapInArrow(_summaries, "doc_id long, _row long, n_lines long, n_chunks long, kept_sha256 string"), "summaries")
     keys = doc.select("_row", "text").mapInArrow(_keys, "k long, _row long, at int")
     again = common.cut(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "again")
-    marks = common.cut(keys.join(again, "k").groupBy("_row").agg(F.collect_list("at").alias("marks")), "marks")  # a document's own chunks
+    marks = common.cut(keys.join(again.hint("merge"), "k").groupBy("_row").agg(F.collect_list("at").alias("marks")), "marks")  # a document's own chunks
     ident = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_id")
-    marked = common.cut(doc.select(ident, "_row", "text").join(marks, "_row").select("_id", "_row", "text", "marks"), "marked")
+    marked = common.cut(doc.select(ident, "_row", "text").join(marks.hint("merge"), "_row").select("_id", "_row", "text", "marks"), "marked")
     common.release_shuffles(spark)
     bodies = marked.mapInArrow(_bodies, "body binary, _id long, _row long, at int")
     me = F.struct("_id", "_row", "at")
     owner = common.cut(bodies.groupBy("body").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "owner")
-    hits = common.cut(bodies.join(owner, "body").where(me != F.col("first")).groupBy("_row").agg(F.collect_list("at").alias("hits")), "hits")
-    cleaned = marked.select("_row", "text").join(hits, "_row").select("_row", "text", "hits").mapInArrow(_without, "_row long, n_removed_chunks long, n_removed_lines long, kept_text string")
+    hits = common.cut(bodies.join(owner.hint("merge"), "body").where(me != F.col("first")).groupBy("_row").agg(F.collect_list("at").alias("hits")), "hits")
+    cleaned = marked.select("_row", "text").join(hits.hint("merge"), "_row").select("_row", "text", "hits").mapInArrow(_without, "_row long, n_removed_chunks long, n_removed_lines long, kept_text string")
     out = summary.join(cleaned, "_row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     digest = F.when(F.col("kept_text").isNull(), F.col("kept_sha256")).otherwise(F.sha2("kept_text", 256))
