@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one numpy pass works on; temporaries are about thirty times this.
 SLICE_BYTES = 2 << 20
 
+#: Bytes of text that go to Python in one Arrow batch; Spark's own bound is by rows, however long they are.
+BATCH_BYTES = 4 << 20
+
 _own_tables: list[tuple[SparkSession, str]] = []
 
 
@@ -84,7 +87,12 @@ def release_shuffles(spark: SparkSession) -> None:
     time.sleep(0.5)  # the cleaner works beside
 
 
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
