@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import time
@@ -96,8 +97,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: an idle Python worker otherwise keeps what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to about ``most`` bytes of text each; a longer text is a slice of its own."""
+    """Arrow batches cut to about ``most`` bytes of text each; a longer text is a slice of its own. Memory is given back behind the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -108,6 +117,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             to = min(max(to, at + 1), n)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
