@@ -75,7 +75,7 @@ def leaks(target: Column, phrase: Column, stop: list[str]) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word lists over the longer of the first's length and 1."""
+    """Levenshtein distance of two word lists over the longer one's length, at least 1."""
     start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: i)
 
     def row(before: Column, x: Column) -> Column:
@@ -89,7 +89,7 @@ def token_distance(a: Column, b: Column) -> Column:
 
         return F.aggregate(steps, first, cell)
 
-    return F.element_at(F.aggregate(a, start, row), -1) / F.greatest(F.size(a), F.lit(1))
+    return F.element_at(F.aggregate(a, start, row), -1) / F.greatest(F.size(a), F.size(b), F.lit(1))
 
 
 def heard_reply(text: Column) -> Column:

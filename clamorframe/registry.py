@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-from .plans.queries import QUERIES, SQL
+from .plans import more, queries
+
+QUERIES = queries.QUERIES | more.QUERIES
+SQL = queries.SQL | more.SQL
 
 __all__ = ["QUERIES", "SQL"]

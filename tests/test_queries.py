@@ -15,7 +15,7 @@ def rows(frame: pd.DataFrame) -> list:
     return sorted(tuple(str(float(x)) if isinstance(x, (int, float)) else str(x) for x in r) for r in out.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
