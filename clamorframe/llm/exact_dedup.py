@@ -51,7 +51,7 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = heads.groupBy("_bytes", "_digit").agg(F.min("_row").alias("_group"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     shared = common.cut(shared, "shared")
     whole = doc.mapInArrow(_whole, "doc_id long, _row long, _points long, _bytes long, _digit binary, text_sha256 string, _rest binary")
-    state = whole.join(shared, ["_bytes", "_digit"], "left")
+    state = whole.join(shared.hint("merge"), ["_bytes", "_digit"], "left")
     is_open = F.col("_group").isNotNull() & (F.col("_bytes") > FIRST_DIGIT)
     state = common.cut(state.select("doc_id", "_row", "_points", "text_sha256", "_bytes", "_group", F.when(is_open, F.col("_rest")).alias("_rest")), "radix")
     done = [state.where("_rest is null").drop("_rest", "_bytes")]
@@ -62,7 +62,7 @@ def groups(docs: DataFrame) -> DataFrame:
         at += width
         live = state.where("_rest is not null").withColumn("_digit", F.substring("_rest", 1, width))
         parts = live.groupBy("_group", "_digit").agg(F.min("_row").alias("_next"), F.count("*").alias("_n"))
-        split = live.join(common.cut(parts, "parts"), ["_group", "_digit"])
+        split = live.join(common.cut(parts, "parts").hint("merge"), ["_group", "_digit"])
         is_open = (F.col("_n") > 1) & (F.col("_bytes") > at)
         state = common.cut(
             split.select("doc_id", "_row", "_points", "text_sha256", "_bytes", F.when(F.col("_n") > 1, F.col("_next")).alias("_group"), F.when(is_open, F.substring("_rest", width + 1, 2**31 - 1)).alias("_rest")),
@@ -85,8 +85,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = groups(docs)
     order = F.struct("_points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("_row").alias("r"))
     best = rows.where("_group is not null").groupBy("_group").agg(F.count("*").alias("_size"), F.max(order).alias("_best"))
-    joined = rows.join(common.cut(best, "best"), "_group", "left")
     alone = F.col("_group").isNull()
+    best = common.cut(best, "best").withColumnRenamed("_group", "_key")
+    # those alone have keys of their own, below all groups, so that nulls do not meet in one task
+    joined = rows.withColumn("_key", F.coalesce("_group", -1 - F.col("_row"))).join(best.hint("merge"), "_key", "left")
     return joined.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.bitwise_not("_best.d")).alias("keep_id"),
