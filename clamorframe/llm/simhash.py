@@ -100,7 +100,7 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, _row, fp, component_id: the smallest doc_id that links reach, the document's own included.
+    """doc_id, _row, fp, root, component_id: the component's own key, and the smallest doc_id that links reach, the document's own included.
 
     A null text is empty; a text without words has fingerprint zero and links like any other. A null doc_id
     is never the smallest where another is there. Repeated rows share a fingerprint and so a component. An
@@ -114,15 +114,18 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     member = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     member = member.join(distinct, "fp")
     least = member.groupBy("root").agg(F.min("least").alias("linked"))
-    linked = member.join(least, "root").select("fp", "linked")
-    own = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    return prints.join(common.cut(own, "classes"), "fp").select("doc_id", "_row", "fp", "component_id")
+    linked = member.join(least, "root").select("fp", "root", "linked")
+    own = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("linked", "least").alias("component_id"))
+    return prints.join(common.cut(own, "classes"), "fp").select("doc_id", "_row", "fp", "root", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (of repeated rows the first)."""
+    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (of repeated rows the first).
+
+    Components are told apart by their root, a fingerprint: a doc_id can be null or stand in several of them.
+    """
     rows = near_groups(docs, shingle)
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
     return common.wrapped(docs).join(first.select("_row").hint("merge"), "_row", "left_semi").select("doc.*")
 
 

@@ -134,3 +134,12 @@ def test_near(docs):
 
 def test_quality(docs):
     assert len(quality.quality_rules(docs).collect()) == len(rows())
+
+
+def test_near_keeps_unlike_rows_of_one_doc_id(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(900)], 80)) for _ in range(4)]
+    table = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[0]), (9, texts[2])]
+    spark.createDataFrame(table, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = simhash.keep_one_of_each(spark.read.parquet(str(tmp_path / "d")), shingle=5).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == sorted([(-1, texts[0]), (-1, texts[1]), (7, texts[2]), (7, texts[3])])
