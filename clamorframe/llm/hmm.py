@@ -4,8 +4,8 @@ Symbols are the HEAD most frequent words and, for all others, classes by their l
 state emits a symbol; a class then gives its word by add-one counts, which no state changes, so a text's
 likelihood is the scaled forward recursion over its symbols times its rare words' shares of their classes.
 Counts of words cover all training texts. Frequent words' counts go with the tasks (KNOWN rows at most); all
-other words of a text are joined with the count table. Start values come from a bounded sample; each round
-after that sums expected counts of all training texts over partitions.
+other words of a text are joined with the count table. Start values are the words' shares of the corpus, moved
+at random for each state; each round sums expected counts of all training texts, whole, over partitions.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from . import common, words
 
 STATES, HEAD, CLASSES, KNOWN = 8, 1 << 15, 1 << 11, 1 << 17
-#: Baum-Welch rounds over all training texts; texts and rounds of the sample that start values come from.
-ROUNDS, SAMPLE, SAMPLE_ROUNDS = 2, 1_500, 12
+#: Baum-Welch rounds, each over all training texts.
+ROUNDS = 14
 #: Tokens that one recursion holds, and tokens whose hashes are counted together.
-TOKENS, COUNT_TOKENS = 1_000_000, 4_000_000
+TOKENS, COUNT_TOKENS = 500_000, 4_000_000
 END = np.uint64(1)
 PRIOR = 50.0
 
@@ -166,51 +166,59 @@ class Expected:
 
 
 class Texts:
-    """Symbols of some texts, the longest first, so that those still running at a step are a prefix."""
+    """Symbols of some texts, the longest first, so that those still running at a step are a prefix.
+
+    Tokens are kept step by step: those of step t are one run of ``flat``, in the order of the texts.
+    """
 
     def __init__(self, symbols: list[np.ndarray]) -> None:
         self.order = sorted(range(len(symbols)), key=lambda i: -len(symbols[i]))
         self.length = np.array([len(symbols[i]) for i in self.order])
-        self.flat = np.concatenate([symbols[i] for i in self.order])
-        self.begin = np.cumsum(self.length) - self.length
         self.live = np.searchsorted(-self.length, -np.arange(self.length[0]), side="left")
-
-    def forward(self, m: Model, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """log10 likelihood of each text in order; with ``keep`` also the scaled states and scales of each token."""
-        total = np.zeros(len(self.length))
-        states = np.empty((len(self.flat), len(m.start))) if keep else None
-        scales = np.empty(len(self.flat)) if keep else None
-        a = np.broadcast_to(m.start, (len(self.length), len(m.start)))
-        for t, n in enumerate(self.live.tolist()):
-            at = self.begin[:n] + t
-            a = (a[:n] if t == 0 else a[:n] @ m.move) * m.emit[self.flat[at]]
-            c = a.sum(axis=1)
-            a = a / c[:, None]
-            total[:n] += np.log10(c)
-            if keep:
-                states[at], scales[at] = a, c
-        return total, states, scales
+        self.step = np.concatenate([[0], np.cumsum(self.live)])
+        self.text = np.arange(self.step[-1]) - np.repeat(self.step[:-1], self.live)
+        self.flat = np.empty(self.step[-1], np.uint16)
+        for i, k in enumerate(self.order):
+            self.flat[self.step[: len(symbols[k])] + i] = symbols[k]
+
+    def _run(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, scaled states and scales of each token."""
+        emit = m.emit[self.flat]
+        states, scales = np.empty_like(emit), np.empty((len(emit), 1))
+        edges = self.step.tolist()
+        n = edges[1]
+        a = np.multiply(emit[:n], m.start, out=states[:n])
+        np.sum(a, axis=1, keepdims=True, out=scales[:n])
+        a /= scales[:n]
+        for s, e in zip(edges[1:-1], edges[2:], strict=True):
+            a = np.matmul(a[: e - s], m.move, out=states[s:e])
+            a *= emit[s:e]
+            c = np.sum(a, axis=1, keepdims=True, out=scales[s:e])
+            a /= c
+        return emit, states, scales
+
+    def forward(self, m: Model) -> np.ndarray:
+        """log10 likelihood of each text in order."""
+        return np.bincount(self.text, np.log10(self._run(m)[2][:, 0]), minlength=len(self.length))
 
     def expect(self, m: Model) -> Expected:
-        _, states, scales = self.forward(m, True)
+        w, states, scales = self._run(m)
+        w /= scales
         k = len(m.start)
-        move, start = np.zeros((k, k)), np.zeros(k)
-        b = np.ones((len(self.length), k))
-        live = self.live.tolist()
-        for t in range(len(live) - 1, -1, -1):
-            n = live[t]
-            after = live[t + 1] if t + 1 < len(live) else 0
-            at = self.begin[:n] + t
-            if after:
-                nxt = at[:after] + 1
-                w = m.emit[self.flat[nxt]] * b[:after] / scales[nxt][:, None]
-                move += states[at[:after]].T @ w
-                b[:after] = w @ m.move.T
-            states[at] *= b[:n]
-            if t == 0:
-                start += states[at].sum(axis=0)
+        b = np.ones_like(w)
+        edges = self.step.tolist()
+        back = np.ascontiguousarray(m.move.T)
+        for t in range(len(edges) - 2, 0, -1):
+            s, e = edges[t], edges[t + 1]
+            x = w[s:e]
+            x *= b[s:e]
+            np.matmul(x, back, out=b[edges[t - 1] : edges[t - 1] + e - s])
+        n = edges[1]
+        before = self.text[n:] + np.repeat(self.step[:-2], self.live[1:])
+        move = states[before].T @ w[n:]
+        states *= b
         emit = np.stack([np.bincount(self.flat, states[:, i], minlength=len(m.emit)) for i in range(k)], axis=1)
-        return Expected(start, move * m.move, emit)
+        return Expected(states[:n].sum(axis=0), move * m.move, emit)
 
 
 def grouped(symbols: list[np.ndarray], most: int = TOKENS) -> Iterator[list[int]]:
@@ -268,7 +276,7 @@ def _scorer(model):
             out = np.zeros(len(symbols))
             for group in grouped(symbols):
                 texts = Texts([symbols[i] for i in group])
-                out[np.array(group)[texts.order]] = texts.forward(model.value, False)[0]
+                out[np.array(group)[texts.order]] = texts.forward(model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["_row", "path_score"])
 
     return run
@@ -284,14 +292,11 @@ def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int
     emit = background[:, None] * rng.uniform(0.5, 1.5, (vocab.symbols, states))
     move = np.full((states, states), 0.1 / states) + np.eye(states) * 0.9
     model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    training = coded.where("not held_out").select("symbols", "doc_id")
-    sample = [np.frombuffer(r["s"], np.uint16)[:2_000] for r in training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.substring("symbols", 1, 4_000).alias("s")).collect()]  # bounded: start values only
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        model = sum_expected(sample, model).model(background)
+    training = coded.where("not held_out").select("symbols")
     for _ in range(rounds):
         at = spark.sparkContext.broadcast(model)
         schema = "symbol int, " + ", ".join(f"e{i} double" for i in range(states))
-        sums = training.select("symbols").mapInArrow(_expecter(at, states), schema).groupBy("symbol").agg(*(F.sum(f"e{i}").alias(f"e{i}") for i in range(states)))
+        sums = training.mapInArrow(_expecter(at, states), schema).groupBy("symbol").agg(*(F.sum(f"e{i}").alias(f"e{i}") for i in range(states)))
         rows = sums.toArrow()  # symbols + states + 1 rows at most
         ids = rows.column("symbol").to_numpy()
         values = np.stack([rows.column(f"e{i}").to_numpy() for i in range(states)], axis=1)
@@ -301,6 +306,8 @@ def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int
             e.move[i] += values[ids == -2 - i].sum(axis=0)
         e.emit[ids[ids >= 0]] = values[ids >= 0]
         model = e.model(background)
+        at.unpersist()
+        common.release_shuffles(spark)
     return model
 
 

@@ -143,3 +143,47 @@ def test_near_keeps_unlike_rows_of_one_doc_id(spark, tmp_path):
     spark.createDataFrame(table, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     got = simhash.keep_one_of_each(spark.read.parquet(str(tmp_path / "d")), shingle=5).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == sorted([(-1, texts[0]), (-1, texts[1]), (7, texts[2]), (7, texts[3])])
+
+
+def plain_baum_welch(texts, vocab, states, rounds):
+    """Scaled forward and backward over whole texts, one at a time, from the corpus-wide background."""
+    background = np.ones(vocab.symbols)
+    for s, n in zip(vocab.symbol, vocab.n, strict=True):
+        background[s] += n if s >= 0 else 0
+    background[vocab.head :] += vocab.class_n
+    background /= background.sum()
+    emit = background[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (vocab.symbols, states))
+    move = np.full((states, states), 0.1 / states) + np.eye(states) * 0.9
+    start, move, emit = np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+    for _ in range(rounds):
+        n_start, n_move, n_emit = np.ones(states), np.eye(states) * 5 + 0.5, hmm.PRIOR * np.repeat(background[:, None], states, axis=1)
+        for x in texts:
+            f, b, c = np.zeros((len(x), states)), np.ones((len(x), states)), np.zeros(len(x))
+            for t in range(len(x)):
+                f[t] = (start if t == 0 else f[t - 1] @ move) * emit[x[t]]
+                c[t] = f[t].sum()
+                f[t] /= c[t]
+            for t in range(len(x) - 2, -1, -1):
+                b[t] = move @ (emit[x[t + 1]] * b[t + 1]) / c[t + 1]
+                n_move += move * np.outer(f[t], emit[x[t + 1]] * b[t + 1] / c[t + 1])
+            n_start += f[0] * b[0]
+            np.add.at(n_emit, x, f * b)
+        start, move, emit = n_start / n_start.sum(), n_move / n_move.sum(axis=1, keepdims=True), n_emit / n_emit.sum(axis=0)
+    return start, move, emit
+
+
+def test_training_reads_whole_texts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    some, others = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    texts = [" ".join([*rng.choice(some, 2100), *rng.choice(others, 700)]), *(" ".join(rng.choice(some, 40)) for _ in range(5))]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2).write.parquet(path)
+    doc = spark.read.parquet(path).selectExpr("doc_id", "doc_id as _row", "false as held_out", "text")
+    counts = doc.select("text").mapInArrow(hmm._counts, "h long, cls int, n long").groupBy("h").agg({"cls": "min", "n": "sum"}).toDF("h", "cls", "n")
+    vocab = hmm.vocabulary(counts)
+    schema = "doc_id long, _row long, held_out boolean, n_tokens long, n_common long, base_part double, inner_part double, symbols binary, rare array<long>"
+    coded = doc.mapInArrow(hmm.encoder(spark.sparkContext.broadcast(vocab)), schema).cache()
+    symbols = [np.frombuffer(r["symbols"], np.uint16) for r in coded.select("symbols").collect()]
+    start, move, emit = plain_baum_welch(symbols, vocab, 3, hmm.ROUNDS)
+    got = hmm.train(coded, vocab, states=3)
+    assert np.allclose(got.start, start) and np.allclose(got.move, move) and np.allclose(got.emit, emit, rtol=1e-6, atol=1e-12)
