@@ -17,10 +17,10 @@ from . import common
 
 #: Bucket width of the sketches as a ratio, and the least value told from zero.
 RATIO, LEAST = 1.04, 1e-4
-#: A document fails where a measure is above the third quartile by so many interquartile ranges, and above the floor.
-REACH = 6.0
-#: Measures and their floors: below it no document differs enough from its source to be judged.
-FLOORS = {"symbols": 0.05, "repeats": 0.40, "dup_lines": 0.50, "capitals": 0.40}
+#: A document fails where a measure is above the third quartile by so many interquartile ranges, and by so many
+#: mean deviations from the median, which are not zero where most documents measure zero.
+REACH, DEVIATIONS = 6.0, 4.0
+MEASURES = ("symbols", "repeats", "dup_lines", "capitals")
 #: Documents that a sketch needs to give thresholds.
 ENOUGH = 200
 
@@ -79,17 +79,18 @@ def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """For each value of ``keys`` the number of documents ``docs`` and a threshold for each measure."""
     w = Window.partitionBy(*keys, "measure")
     upto = sketches.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "all": F.sum("n").over(w)})
-    at = lambda q: bucket_value(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bucket"))))
-    quartiles = upto.groupBy(*keys, "measure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("docs"))
-    high = F.col("q3") + REACH * (F.col("q3") - F.col("q1"))
-    out = [F.max(F.when(F.col("measure") == m, F.greatest(high, F.lit(floor)))).alias(f"limit_{m}") for m, floor in FLOORS.items()]
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bucket")))
+    upto = upto.withColumn("off", F.col("n") * F.abs(bucket_value(F.col("bucket")) - bucket_value(at(0.5).over(w))))
+    quartiles = upto.groupBy(*keys, "measure").agg(bucket_value(at(0.25)).alias("q1"), bucket_value(at(0.75)).alias("q3"), (F.sum("off") / F.max("all")).alias("off"), F.max("all").alias("docs"))
+    high = F.col("q3") + F.greatest(REACH * (F.col("q3") - F.col("q1")), DEVIATIONS * F.col("off"))
+    out = [F.max(F.when(F.col("measure") == m, high)).alias(f"limit_{m}") for m in MEASURES]
     return quartiles.groupBy(*keys).agg(F.max("docs").alias("docs"), *out)
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """One row for each language and source, with the thresholds that hold there."""
     own = common.cut(sketch(rows), "sketch")
-    names = [f"limit_{m}" for m in FLOORS]
+    names = [f"limit_{m}" for m in MEASURES]
     fine = limits(own, ["lang", "source"])
     of_lang = limits(merge(own, ["lang"]), ["lang"]).select(F.col("lang").alias("l"), F.col("docs").alias("lang_docs"), *(F.col(n).alias(f"lang_{n}") for n in names))
     whole = limits(merge(own, []), []).select(*(F.col(n).alias(f"all_{n}") for n in names))  # one row

@@ -187,3 +187,12 @@ def test_training_reads_whole_texts(spark, tmp_path):
     start, move, emit = plain_baum_welch(symbols, vocab, 3, hmm.ROUNDS)
     got = hmm.train(coded, vocab, states=3)
     assert np.allclose(got.start, start) and np.allclose(got.move, move) and np.allclose(got.emit, emit, rtol=1e-6, atol=1e-12)
+
+
+def test_quality_limits_follow_the_source(spark):
+    even = [("a", 80 + i % 41) for i in range(300)]
+    table = [("en", s, n, 1000, 0, 100, 0, 1, 0, False) for s, n in [*even, *(("b", 0) for _ in range(297)), *(("b", 40) for _ in range(3))]]
+    names = "lang string, source string, n_symbols long, word_chars long, n_repeat_words long, n_words long, n_dup_lines long, _n_lines long, _capitals long, base_failed boolean"
+    got = quality.judge(spark.createDataFrame(table, names)).toPandas()
+    assert got.loc[got["source"] == "a", "kept"].all()
+    assert (got["kept"] == (got["n_symbols"] == 0))[got["source"] == "b"].all()
