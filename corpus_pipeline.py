@@ -58,7 +58,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Packing, mixing and SimHash are not expressible in SQL; tests hold the pipeline against plain Python.
+#: Packing, mixing and SimHash are not expressible in SQL; no test holds the whole pipeline against plain Python.
 ORACLE_SQL = None
 
 
