@@ -1,28 +1,34 @@
 """Quality rules with thresholds from mergeable quantile sketches, in DataFrame functions only.
 
-A sketch is the number of documents in each logarithmic bucket of a measure. Buckets add up, so sketches of
-sources merge to one of their language and to one of the corpus, in any order and with the same result, and
-a quantile is right within the bucket width. A source and language with too few documents takes the
-thresholds of its language, then of the corpus. Thresholds are then joined to the documents.
+A measure is the share of a text that is surely odd: what its count has beyond three standard deviations of
+a count by chance. A sketch is the number of documents in each bucket of a measure's square root. Buckets add
+up, so sketches of sources merge to one of their language and to one of the corpus, in any order and with the
+same result, and a quantile is right within the bucket width. A source's sketch in a language is completed
+by its language's as if PRIOR more documents had been seen there, and the language's by the corpus's in the
+same way: few documents lean on the larger sketch, many on their own, without a step between. Thresholds
+are then joined to the documents. Counts are kept in thousandths of documents as whole numbers, so that sums
+do not depend on the order of adding.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bucket width of the sketches as a ratio, and the least value told from zero.
-RATIO, LEAST = 1.04, 1e-4
+#: Buckets of a sketch: the square root of a share, in so many steps.
+STEPS = 200
 #: A document fails where a measure is above the third quartile by so many interquartile ranges, and by so many
 #: mean deviations from the median, which are not zero where most documents measure zero.
-REACH, DEVIATIONS = 6.0, 4.0
+REACH, DEVIATIONS = 6, 3
 MEASURES = ("symbols", "repeats", "dup_lines", "capitals")
-#: Documents that a sketch needs to give thresholds.
-ENOUGH = 200
+#: Documents that the next larger sketch counts as in a smaller one.
+PRIOR = 200
+#: Standard deviations of a count that are put down to chance.
+CHANCE = 3.0
+#: Words that one repeated passage has at least: a window and its repetition.
+REPEAT = 6
 
 WHITE = r"[ \t\n\x0B\f\r]+"
 
@@ -50,24 +56,25 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     return step.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def measures() -> dict[str, Column]:
-    part = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)).cast("double")
-    return {"symbols": part("n_symbols", "word_chars"), "repeats": part("n_repeat_words", "n_words"), "dup_lines": part("n_dup_lines", "_n_lines"), "capitals": part("_capitals", "word_chars")}
-
+def beyond_chance(n: Column) -> Column:
+    """What of a count is more than CHANCE standard deviations of it; a few occurrences are nothing sure."""
+    return F.greatest(F.lit(0.0), n - CHANCE * F.sqrt(n))
 
-def bucket(x: Column) -> Column:
-    """0 for less than LEAST, then one for each ratio."""
-    return F.when(x < LEAST, 0).otherwise(1 + F.floor(F.log(x / LEAST) / math.log(RATIO))).cast("int")
 
-
-def bucket_value(k: Column) -> Column:
-    """The middle of a bucket."""
-    return F.when(k == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(RATIO), k - 0.5))
+def buckets() -> dict[str, Column]:
+    """Each measure's bucket, 0 to STEPS: of a share x the floor of STEPS times its root."""
+    part = lambda a, b: F.floor(STEPS * F.sqrt(F.coalesce(F.try_divide(a, F.col(b)), F.lit(0.0)))).cast("long")
+    return {
+        "symbols": part(beyond_chance(F.col("n_symbols")), "word_chars"),
+        "repeats": part(REPEAT * beyond_chance(F.col("n_repeat_words") / REPEAT), "n_words"),
+        "dup_lines": part(beyond_chance(F.col("n_dup_lines")), "_n_lines"),
+        "capitals": part(beyond_chance(F.col("_capitals")), "word_chars"),
+    }
 
 
 def sketch(rows: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n) over documents that pass the base rules."""
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(x).alias("bucket")) for m, x in measures().items())))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), b.alias("bucket")) for m, b in buckets().items())))
     return rows.where("not base_failed").select("lang", "source", each.alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
 
@@ -75,36 +82,43 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """For each value of ``keys`` the number of documents ``docs`` and a threshold for each measure."""
+def completed(sketches: DataFrame, keys: list[str], larger: DataFrame, on: list[str]) -> DataFrame:
+    """(keys, measure, bucket, w): the sketches' documents in thousandths, and PRIOR more, dealt as in the larger sketch (on, measure, bucket, w)."""
+    whole = larger.withColumn("whole", F.sum("w").over(Window.partitionBy(*on, "measure")))
+    lent_w = F.expr(f"{PRIOR * 1000}L * w div whole")  # whole numbers, for up to 4e10 documents
+    share = whole.select(*(F.col(k).alias(f"{k}__l") for k in on), F.col("measure").alias("m__l"), "bucket", lent_w.alias("w"))
+    mine = sketches.select(*keys, "measure").distinct()
+    same = [mine[k].eqNullSafe(share[f"{k}__l"]) for k in on] + [mine["measure"] == share["m__l"]]
+    lent = mine.join(share, same).select(*keys, "measure", "bucket", "w")
+    own = sketches.select(*keys, "measure", "bucket", (1000 * F.col("n")).alias("w"))
+    return own.unionByName(lent).groupBy(*keys, "measure", "bucket").agg(F.sum("w").alias("w")).where("w > 0")
+
+
+def limits(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """For each value of ``keys`` a threshold for each measure, in squared buckets, which are shares again."""
     w = Window.partitionBy(*keys, "measure")
-    upto = sketches.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "all": F.sum("n").over(w)})
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bucket")))
-    upto = upto.withColumn("off", F.col("n") * F.abs(bucket_value(F.col("bucket")) - bucket_value(at(0.5).over(w))))
-    quartiles = upto.groupBy(*keys, "measure").agg(bucket_value(at(0.25)).alias("q1"), bucket_value(at(0.75)).alias("q3"), (F.sum("off") / F.max("all")).alias("off"), F.max("all").alias("docs"))
-    high = F.col("q3") + F.greatest(REACH * (F.col("q3") - F.col("q1")), DEVIATIONS * F.col("off"))
-    out = [F.max(F.when(F.col("measure") == m, high)).alias(f"limit_{m}") for m in MEASURES]
-    return quartiles.groupBy(*keys).agg(F.max("docs").alias("docs"), *out)
+    upto = weights.withColumns({"upto": F.sum("w").over(w.orderBy("bucket")), "all": F.sum("w").over(w), "x": F.col("bucket") * F.col("bucket")})
+    at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("x")))
+    off = upto.withColumn("off", (F.col("w") * F.abs(F.col("x") - at(2).over(w))).cast("decimal(38,0)"))
+    quartiles = off.groupBy(*keys, "measure").agg(at(1).alias("q1"), at(3).alias("q3"), F.sum("off").cast("double").alias("off"), F.max("all").cast("double").alias("all"))
+    high = F.col("q3") + F.greatest((REACH * (F.col("q3") - F.col("q1"))).cast("double"), DEVIATIONS * (F.col("off") / F.col("all")))
+    return quartiles.groupBy(*keys).agg(*(F.max(F.when(F.col("measure") == m, high)).alias(f"limit_{m}") for m in MEASURES))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """One row for each language and source, with the thresholds that hold there."""
     own = common.cut(sketch(rows), "sketch")
-    names = [f"limit_{m}" for m in MEASURES]
-    fine = limits(own, ["lang", "source"])
-    of_lang = limits(merge(own, ["lang"]), ["lang"]).select(F.col("lang").alias("l"), F.col("docs").alias("lang_docs"), *(F.col(n).alias(f"lang_{n}") for n in names))
-    whole = limits(merge(own, []), []).select(*(F.col(n).alias(f"all_{n}") for n in names))  # one row
-    both = fine.join(of_lang, F.col("lang").eqNullSafe(F.col("l"))).join(F.broadcast(whole))
-    pick = lambda n: F.when(F.col("docs") >= ENOUGH, F.col(n)).when(F.col("lang_docs") >= ENOUGH, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}")).alias(n)
-    return common.cut(both.select("lang", "source", *(pick(n) for n in names)), "limits")
+    corpus = merge(own, []).withColumnRenamed("n", "w")
+    of_lang = completed(merge(own, ["lang"]), ["lang"], corpus, [])
+    return common.cut(limits(completed(own, ["lang", "source"], of_lang, ["lang"]), ["lang", "source"]), "limits")
 
 
 def judge(rows: DataFrame) -> DataFrame:
     """``rows``, a table with the features, with ``kept``."""
     joined = common.join_keys(rows, thresholds(rows), ["lang", "source"], "left")
     good = F.lit(True)
-    for m, x in measures().items():
-        good = good & F.coalesce(x <= F.col(f"limit_{m}"), F.lit(True))
+    for m, b in buckets().items():
+        good = good & F.coalesce(b * b <= F.col(f"limit_{m}"), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & good)
 
 
@@ -129,3 +143,39 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.documents(spark, sf_dir))
+
+
+def _bucket_sql(n: str, whole: str, each: int = 1) -> str:
+    n = f"greatest(0.0::DOUBLE, {n} / {each} - {CHANCE}::DOUBLE * sqrt({n} / {each}))"
+    return f"floor({STEPS} * sqrt(coalesce({each} * {n} / nullif({whole}, 0), 0)))::BIGINT"
+
+
+_BUCKETS = {"symbols": _bucket_sql("n_symbols", "word_chars"), "repeats": _bucket_sql("n_repeat_words", "n_words", REPEAT), "dup_lines": _bucket_sql("n_dup_lines", "n_lines"), "capitals": _bucket_sql("capitals", "word_chars")}
+_SHARE = f"({PRIOR * 1000} * w::HUGEINT) // (sum(w) OVER"
+_MEASURE_LIST = "UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, b_{m} AS bucket FROM b WHERE NOT base_failed " for m in MEASURES)
+
+OP3_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\x0C\\r]')) AS ls FROM t),
+p AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+k AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM p),
+a AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM k),
+u AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM a WHERE n > 1) GROUP BY r),
+f AS (SELECT w.r, doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS capitals, coalesce(u.n, 0) AS n_repeat_words FROM w LEFT JOIN u USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{x} AS b_{m}" for m, x in _BUCKETS.items())} FROM f),
+s AS (SELECT lang, source, measure, bucket, count(*) AS n FROM ({_MEASURE_LIST}) GROUP BY ALL),
+c AS (SELECT measure, bucket, {_SHARE} (PARTITION BY measure)) AS w FROM (SELECT measure, bucket, sum(n) AS w FROM s GROUP BY ALL)),
+lw AS (SELECT lang, measure, bucket, sum(w) AS w FROM (SELECT lang, measure, bucket, 1000 * n AS w FROM s UNION ALL SELECT l.lang, c.measure, c.bucket, c.w FROM (SELECT DISTINCT lang, measure FROM s) l JOIN c USING (measure)) GROUP BY ALL HAVING sum(w) > 0),
+l AS (SELECT lang, measure, bucket, {_SHARE} (PARTITION BY lang, measure)) AS w FROM lw),
+pw AS (SELECT lang, source, measure, bucket, sum(w) AS w FROM (SELECT lang, source, measure, bucket, 1000 * n AS w FROM s
+  UNION ALL SELECT m.lang, m.source, m.measure, l.bucket, l.w FROM (SELECT DISTINCT lang, source, measure FROM s) m JOIN l ON l.lang IS NOT DISTINCT FROM m.lang AND l.measure = m.measure) GROUP BY ALL HAVING sum(w) > 0),
+o AS (SELECT *, bucket * bucket AS x, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lang, source, measure) AS whole FROM pw),
+q AS (SELECT lang, source, measure, min(x) FILTER (4 * upto >= whole) AS q1, min(x) FILTER (4 * upto >= 2 * whole) AS q2, min(x) FILTER (4 * upto >= 3 * whole) AS q3 FROM o GROUP BY ALL),
+d AS (SELECT o.lang, o.source, o.measure, any_value(q1) AS q1, any_value(q3) AS q3, sum(w * abs(x - q2))::DOUBLE / any_value(whole)::DOUBLE AS off
+  FROM o JOIN q ON q.lang IS NOT DISTINCT FROM o.lang AND q.source IS NOT DISTINCT FROM o.source AND q.measure = o.measure GROUP BY ALL),
+h AS (SELECT lang, source, {", ".join(f"max(q3 + greatest(({REACH} * (q3 - q1))::DOUBLE, {DEVIATIONS} * off)) FILTER (measure = '{m}') AS limit_{m}" for m in MEASURES)} FROM d GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"coalesce(b_{m} * b_{m} <= limit_{m}, true)" for m in MEASURES)} AS kept
+FROM b LEFT JOIN h ON h.lang IS NOT DISTINCT FROM b.lang AND h.source IS NOT DISTINCT FROM b.source
+"""

@@ -19,5 +19,6 @@ QUERIES = {
 
 #: The others are not expressible in SQL; tests hold parts of them against plain Python, not all.
 SQL = {
+    "op3_quality_rules": quality.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }

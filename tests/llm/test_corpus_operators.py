@@ -1,12 +1,13 @@
 """Corpus operators against plain Python on small tables with nulls, repeats and clashing columns."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from clamorframe.llm import exact_dedup, hmm, lines, mixing, packing, quality, rans, secrets, simhash, substrings
+from clamorframe.llm import exact_dedup, hmm, lines, mixing, packing, quality, queries, rans, secrets, simhash, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, n_words string"
 
@@ -132,10 +133,6 @@ def test_near(docs):
         assert near.nunique() == 1
 
 
-def test_quality(docs):
-    assert len(quality.quality_rules(docs).collect()) == len(rows())
-
-
 def test_near_keeps_unlike_rows_of_one_doc_id(spark, tmp_path):
     rng = np.random.default_rng(11)
     texts = [" ".join(rng.choice([f"v{i}" for i in range(900)], 80)) for _ in range(4)]
@@ -189,10 +186,60 @@ def test_training_reads_whole_texts(spark, tmp_path):
     assert np.allclose(got.start, start) and np.allclose(got.move, move) and np.allclose(got.emit, emit, rtol=1e-6, atol=1e-12)
 
 
+def plain_quality(text):
+    """The base counts of one text, by lists and sets."""
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    again = {k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality_base_counts(docs):
+    got = sorted(tuple(r)[1:7] for r in quality.quality_rules(docs).collect())
+    want = [plain_quality(r[1]) for r in rows()]
+    assert got == sorted((*w, w[0] < 50 or 100 * w[4] > 50 * w[0]) for w in want)
+
+
+def judged(spark, table):
+    names = "lang string, source string, n_symbols long, word_chars long, n_repeat_words long, n_words long, n_dup_lines long, _n_lines long, _capitals long, base_failed boolean"
+    return quality.judge(spark.createDataFrame(table, names)).toPandas()
+
+
 def test_quality_limits_follow_the_source(spark):
     even = [("a", 80 + i % 41) for i in range(300)]
-    table = [("en", s, n, 1000, 0, 100, 0, 1, 0, False) for s, n in [*even, *(("b", 0) for _ in range(297)), *(("b", 40) for _ in range(3))]]
-    names = "lang string, source string, n_symbols long, word_chars long, n_repeat_words long, n_words long, n_dup_lines long, _n_lines long, _capitals long, base_failed boolean"
-    got = quality.judge(spark.createDataFrame(table, names)).toPandas()
-    assert got.loc[got["source"] == "a", "kept"].all()
+    got = judged(spark, [("en", s, n, 1000, 0, 100, 0, 1, 0, False) for s, n in [*even, *(("b", 0) for _ in range(297)), *(("b", 100) for _ in range(3))]])
+    assert got.loc[got["source"] == "a", "kept"].all()  # a hundred symbols are usual in one source and odd in the other
     assert (got["kept"] == (got["n_symbols"] == 0))[got["source"] == "b"].all()
+
+
+def test_quality_thresholds_act_on_planted_junk(spark):
+    """Junk is a fifteenth of each source; a few symbols, repeats and equal lines as they occur by chance are no junk."""
+    rng = np.random.default_rng(8)
+    clean = [("en", f"s{i % 4}", int(rng.poisson(2)), 1500, 6 * int(rng.integers(0, 5)), 300, int(rng.integers(0, 3)), 20, int(rng.normal(30, 5)), False) for i in range(1400)]
+    junk = [(None if i % 9 == 0 else "en", f"s{i % 4}", int(rng.integers(200, 500)), 1500, 0, 300, 0, 20, 30, False) for i in range(100)]
+    got = judged(spark, clean + junk)
+    bad = got["n_symbols"] >= 200
+    assert (~got.loc[bad, "kept"]).mean() >= 0.95 and got.loc[~bad, "kept"].mean() >= 0.99
+
+
+def test_sketches_merge_in_any_order(spark):
+    table = [("en" if i % 3 else None, f"s{i % 2}", i % 50, 1000, 0, 100, 0, 1, i % 90, i % 11 == 0) for i in range(400)]
+    names = "lang string, source string, n_symbols long, word_chars long, n_repeat_words long, n_words long, n_dup_lines long, _n_lines long, _capitals long, base_failed boolean"
+    got = [sorted(map(str, quality.thresholds(spark.createDataFrame(table[::k], names).repartition(n)).collect())) for k, n in ((1, 1), (-1, 5))]
+    assert got[0] == got[1] and len(got[0]) == 4
+
+
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op6_exact_dedup"])
+def test_sql(spark, docs, tmp_path, name):
+    """On a small table without repeated ids, which SQL cannot tell apart."""
+    import duckdb
+
+    path = f"{tmp_path}/documents.parquet"
+    docs.where("doc_id is not null").dropDuplicates(["doc_id"]).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.sql(queries.SQL[name]).df()
+    got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    in_order = lambda f: sorted(map(str, f[sorted(f.columns)].itertuples(index=False, name=None)))
+    assert len(want) and in_order(got) == in_order(want)
