@@ -5,6 +5,10 @@ whole part is taken for certain; the fractional part is an inclusion probability
 three documents at a time, their probabilities move along the null space of the constraints (documents and
 tokens) until one is 0 or 1, so both totals stay as they are. A block leaves two documents at most; blocks'
 leftovers fly together, until one block of a source lands by the choice nearest to its totals.
+
+What is drawn depends on the documents alone, not on how their file is split: a document's place is a hash of
+its doc_id, text and number among rows that are equal in both. Which of such rows has which number does not
+show in the result.
 """
 
 from __future__ import annotations
@@ -90,7 +94,7 @@ def land(p: list[float], size: list[float], live: list[int]) -> None:
 
 def _flight(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     number, block, level, last = key
-    pdf = pdf.sort_values(["_order", "_row"], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["_order", "size", "doc_id"], kind="stable", ignore_index=True)
     p, size = pdf["p"].tolist(), pdf["size"].astype(float).tolist()
     live = fly(p, size, random.Random(f"{number}/{block}/{level}"))
     if last:
@@ -98,22 +102,43 @@ def _flight(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(p=p)
 
 
+#: Rows of one doc_id and text that are numbered together.
+RUN = 10_000
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``_again``, a number from 0 among rows of one doc_id and text; rows of a very frequent one are numbered in runs."""
+    same = ["doc_id", "_digest"]
+    often = common.cut(sized.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1"), "often")
+    rows = common.join_keys(sized, often, same, "left")
+    once = rows.where("_n is null").drop("_n").withColumn("_again", F.lit(0).cast("long"))
+    dealt = rows.where("_n is not null").withColumn("_run", F.pmod(F.xxhash64("_row"), F.ceil(F.col("_n") / RUN)))
+    sizes = dealt.groupBy(*same, "_run").agg(F.count("*").alias("_k"))
+    before = sizes.withColumn("_before", F.sum("_k").over(Window.partitionBy(*same).orderBy("_run")) - F.col("_k")).drop("_k")
+    within = F.row_number().over(Window.partitionBy(*same, "_run").orderBy("_row")) - 1
+    meet = [*(F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in same), F.col("r._run") == F.col("b._run")]
+    more = dealt.withColumn("_within", within).alias("r").join(before.alias("b"), meet).select("r.*", "b._before").withColumn("_again", F.col("_before") + F.col("_within"))
+    return once.unionByName(more.select(*once.columns))
+
+
 def copies(docs: DataFrame, **rules: object) -> DataFrame:
     """doc_id, _row, size, source_size, target, copies: how often the mix takes each document.
 
     A null text has size 0; null is a source of its own, the last. Repeated rows are documents of their own.
     All sizes 0 give targets 0 and no copies. An empty table gives an empty result; other columns are not read.
+    The same documents give the same numbers however they are split and ordered.
     """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
-    doc = common.with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("size")))
-    sized = common.cut(doc.select("doc_id", "_row", "source", "size"), "sized")
+    digest = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("source").isNull())
+    doc = common.with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("size"), digest.alias("_digest")))
+    sized = common.cut(doc.select("doc_id", "_row", "source", "size", "_digest"), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = targets(totals, **rules).withColumn("number", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     plan = common.cut(plan, "targets")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    rows = common.join_keys(sized, plan, ["source"]).withColumn("rate", rate)
+    rows = common.join_keys(common.cut(_numbered(sized), "numbered"), plan, ["source"]).withColumn("rate", rate)
     rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-    rows = rows.withColumn("blocks", F.ceil(F.col("docs") / BLOCK).cast("long")).withColumn("_order", F.xxhash64("doc_id", "_row"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("docs") / BLOCK).cast("long")).withColumn("_order", F.xxhash64("doc_id", "_digest", "_again"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("_order"), F.col("blocks"))).withColumn("level", F.lit(0)).withColumn("last", F.col("blocks") == 1)
     names = ["doc_id", "_row", "size", "source_size", "target", "number", "whole", "p", "blocks", "_order", "block", "level", "last"]
     state = rows.select(*names)

@@ -120,6 +120,46 @@ def test_mixing(docs):
     assert mixing.take(docs).columns == docs.columns
 
 
+def plain_targets(sizes):
+    """The contract's targets, by resharing what is over the limits until none is."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, out, open_ = 1.5 * sum(sizes.values()), {}, set(names)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            return out | share
+        out |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(out[s] for s in over)
+        open_ -= over
+    return out
+
+
+def test_mixing_targets_and_reruns(spark, tmp_path):
+    """Targets as reshared by hand, and the same documents in another order and other files: also rows that are there a thousand times."""
+    rng = random.Random(3)
+    table = [(i if i % 7 else None, "w " * (rng.randint(0, 80) if i % 3 else 40), [None, "a", "b", "Z", "é"][min(rng.randrange(9), 4)], i) for i in range(3000)]
+    table += [(5, "again and again", "a", i) for i in range(1000)]
+    sizes = {}
+    for _, t, s, _ in table:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    seen = []
+    for k in (1, 2, 7):
+        rng.shuffle(table)
+        path = f"{tmp_path}/d{k}"
+        spark.createDataFrame(table, "doc_id long, text string, source string, _row long").repartition(k).write.parquet(path)
+        got = mixing.copies(spark.read.parquet(path)).collect()
+        seen.append(sorted((str(r["doc_id"]), r["size"], r["source_size"], round(r["target"], 6), r["copies"]) for r in got))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(table)
+    want = plain_targets(sizes)
+    assert {(sizes[s], round(want[s], 6)) for s in sizes} == {r[2:4] for r in seen[0]}
+    for s in sizes:
+        taken = sum(size * n for _, size, whole, target, n in seen[0] if (whole, target) == (sizes[s], round(want[s], 6)))
+        assert abs(taken - want[s]) <= 80
+    assert all(n <= 2 for *_, n in seen[0])
+
+
 def plain_secrets(text):
     """Pattern spans by walking the text, as the contract words it."""
     out = []
