@@ -12,6 +12,7 @@ fingerprints are compared with blocks and give a spanning forest, never all pair
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, words
+from . import common, similar
 from .components import components, forest
 
 SHINGLE = 3
@@ -30,24 +31,27 @@ CROWD, BLOCK = 96, 512
 LOW_BITS = 0x5555555555555555
 
 
-def _of_text(parts: list[bytes], width: int) -> int:
-    if not parts:
-        return 0
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle of the words in lower case, repeats included; fewer words are one shingle, none give none."""
+    parts = (text or "").encode().lower().split()
     digest = xxhash.xxh64_intdigest
     if len(parts) <= width:
-        h = np.array([digest(b" ".join(parts), 42)], "<u8")
-    else:
-        h = np.array([digest(b" ".join(x), 42) for x in zip(*(parts[i:] for i in range(width)), strict=False)], "<u8")
+        return np.array([digest(b" ".join(parts), 42)] if parts else [], np.uint64)
+    return np.array([digest(b" ".join(x), 42) for x in zip(*(parts[i:] for i in range(width)), strict=False)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero for none."""
     total = np.zeros(64, np.int64)
     for k in range(0, len(h), 4096):
-        total += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += np.unpackbits(h[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprinter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            prints = [_of_text((x or "").encode().lower().split(), width) for x in batch.column(2).to_pylist()]
+            prints = [majority(shingle_hashes(x, width)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "_row", "fp"])
 
     return run
@@ -119,14 +123,19 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(common.cut(own, "classes"), "fp").select("doc_id", "_row", "fp", "root", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (of repeated rows the first).
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id, null last (of repeated rows the first).
 
-    Components are told apart by their root, a fingerprint: a doc_id can be null or stand in several of them.
+    Without ``similarity``, fingerprints within 3 bits link. With it, texts link whose sets of shingles have
+    that Jaccard similarity at least, those within 3 bits as others; see ``similar``. Components are told
+    apart by their root: a doc_id can be null or stand in several of them.
     """
-    rows = near_groups(docs, shingle)
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
-    return common.wrapped(docs).join(first.select("_row").hint("merge"), "_row", "left_semi").select("doc.*")
+    if similarity is None:
+        rows = near_groups(docs, shingle)
+    else:
+        rows = similar.groups(docs, partial(shingle_hashes, width=shingle), majority, links, similarity)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    return common.wrapped(docs).join(first.select("first._row").hint("merge"), "_row", "left_semi").select("doc.*")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
