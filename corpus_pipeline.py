@@ -36,8 +36,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in fives, as near-duplicate stages take them."""
-    return simhash.keep_one_of_each(docs, shingle=5)
+    """Words in fives and a similarity of 0.8, as near-duplicate stages take them."""
+    return simhash.keep_one_of_each(docs, shingle=5, similarity=0.8)
 
 
 @stage
