@@ -25,10 +25,12 @@ _own_tables: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where none is set and all tasks run in this process."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="clamorframe-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -136,10 +138,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 #: Rows of a table of keys up to which it is broadcast; beyond, the join shuffles and Spark splits skewed keys.
 BROADCAST_ROWS = 20_000
 
@@ -164,6 +162,7 @@ def wrapped(docs: DataFrame) -> DataFrame:
 
 def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
     """A key for each row, also for rows that are equal in all columns. The input must be a table, so that reruns of a task see its rows in the same order."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -47,14 +47,17 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # read from tables, so that the joins' inputs are plain exchanges and Spark can split a hub's rows
+        least = common.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # u > v in each row
+        large = common.cut(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         new = common.cut(small, "edges")
         found = new.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
-        common.drop_cut(now)
+        for old in (now, least, large):
+            common.drop_cut(old)
         now = new
         common.release_shuffles(spark)
         if mark == tuple(found) or not found["n"]:

@@ -545,6 +545,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     are scanned each by itself. Without a text nothing is learnt and nothing found but the patterns. An empty
     table gives an empty result; other columns are not read.
     """
+    common.bound_batches(docs.sparkSession)
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     field = docs.sparkSession.sparkContext.broadcast(train(doc, sample))
     return doc.mapInArrow(scanner(field), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

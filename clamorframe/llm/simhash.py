@@ -5,8 +5,9 @@ so the Manhattan distance of two embeddings is the bit count of their difference
 Hamming distance. Fingerprints within 3 bits are within Manhattan distance 1 in one half of the segments:
 a grid cell is one half's embedding, and each fingerprint looks in its own cell and in those where one
 segment counts one more. What a cell brings together passes the whole lower bound, then the exact distance.
-Copies share a fingerprint, so only distinct fingerprints are joined. In a crowded cell, blocks of
-fingerprints are compared with blocks and give a spanning forest, never all pairs.
+Copies share a fingerprint, so only distinct fingerprints are joined. A crowded cell is parted by the quarters
+of the other half, of which one agrees; in what is still crowded, blocks of fingerprints are compared with
+blocks and give a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -79,28 +80,52 @@ def _compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": u, "v": v})
 
 
+def _quarters(rows: DataFrame) -> DataFrame:
+    """Each row four times, with a quarter of its other half: of two fingerprints within 3 bits one quarter there is equal."""
+    other = F.when(F.col("side") == 0, F.col("e")).otherwise(F.shiftrightunsigned("e", 32))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)).alias("q")) for k in range(4))))
+    return rows.select("side", "cell", "fp", "e", each.alias("x")).select("side", "cell", "x.k", "x.q", "fp", "e")
+
+
+def _crowded(homes: DataFrame, keys: list[str]) -> DataFrame:
+    return common.cut(homes.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowded")
+
+
+def _calm_pairs(homes: DataFrame, guests: DataFrame, crowded: DataFrame, keys: list[str]) -> DataFrame:
+    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS
+    calm = homes.join(crowded, keys, "left_anti").select(*keys, F.col("fp").alias("u"), F.col("e").alias("eu"))
+    near = (F.col("u") != F.col("fp")) & apart(F.col("eu"), F.col("e")) & apart(F.col("u"), F.col("fp"))
+    return calm.join(guests, keys).where(near).select("u", F.col("fp").alias("v"))
+
+
 def links(fingerprints: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints ``fp`` within 3 bits of each other, as the full pair set would."""
+    """Edges (u, v) that connect all distinct fingerprints ``fp`` within 3 bits of each other, as the full pair set would.
+
+    Cells that are crowded are parted by an equal quarter of the other half; where that is not enough, blocks
+    of those at home meet blocks of those that look there.
+    """
     e = fingerprints.select("fp", embedding(F.col("fp")).alias("e"))
     half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("e", 32).alias("own")), F.struct(F.lit(1).alias("side"), F.col("e").bitwiseAND(F.lit(0xFFFFFFFF)).alias("own"))))
     halves = e.select("fp", "e", half.alias("h")).select("fp", "e", "h.side", F.col("h.own").alias("cell"))
     homes = common.cut(halves, "homes")
     near = F.explode(F.array_compact(F.array(F.col("cell"), *(_one_more(F.col("cell"), k) for k in range(16)))))
     looks = homes.select("fp", "e", "side", near.alias("cell"))
-    load = homes.groupBy("side", "cell").agg(F.count("*").alias("n"))
-    crowded = load.where(F.col("n") > CROWD)
-    calm = homes.join(crowded, ["side", "cell"], "left_anti").select("side", "cell", F.col("fp").alias("u"), F.col("e").alias("eu"))
-    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS
-    pairs = calm.join(looks, ["side", "cell"]).where((F.col("u") != F.col("fp")) & apart(F.col("eu"), F.col("e")) & apart(F.col("u"), F.col("fp"))).select("u", F.col("fp").alias("v"))
-    # crowded cells: each block of those at home meets each block of those that look there
-    guests = looks.join(crowded.drop("n"), ["side", "cell"])
-    guest_load = guests.groupBy("side", "cell").agg(F.count("*").alias("m"))
-    sizes = crowded.join(guest_load, ["side", "cell"]).select("side", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"))
+    cell, part = ["side", "cell"], ["side", "cell", "k", "q"]
+    crowded = _crowded(homes, cell)
+    pairs = _calm_pairs(homes, looks, crowded, cell)
+    if crowded.isEmpty():
+        return pairs
+    homes, guests = (common.cut(_quarters(x.join(crowded.drop("n"), cell)), "parts") for x in (homes, looks))
+    crowded = _crowded(homes, part)
+    pairs = pairs.unionByName(_calm_pairs(homes, guests, crowded, part))
+    if crowded.isEmpty():
+        return pairs
+    load = guests.join(crowded.drop("n"), part).groupBy(*part).agg(F.count("*").alias("m"))
+    sizes = common.cut(crowded.join(load, part).select(*part, F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK).cast("int").alias("mb")), "sizes")
     of = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
-    left = homes.join(sizes, ["side", "cell"]).select("side", "cell", "fp", F.lit(True).alias("home"), of("nb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
-    right = guests.join(sizes, ["side", "cell"]).select("side", "cell", "fp", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), of("mb").alias("j"))
-    crowd_edges = left.unionByName(right).groupBy("side", "cell", "i", "j").applyInPandas(_compare, "u long, v long")
-    return pairs.unionByName(crowd_edges)
+    left = homes.join(sizes, part).select(*part, "fp", F.lit(True).alias("home"), of("nb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
+    right = guests.join(sizes, part).select(*part, "fp", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), of("mb").alias("j"))
+    return pairs.unionByName(left.unionByName(right).groupBy(*part, "i", "j").applyInPandas(_compare, "u long, v long"))
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -55,7 +55,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = (text.as_py() or "").encode().split()
             counts.append(len(parts))
             digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests)], names=["doc_id", "_row", "n_words", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests), batch.column(3)], names=["_id", "_row", "n_words", "kept_sha256", "doc_id"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +121,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     take nothing from each other. An empty table gives an empty result; other columns are not read.
     """
     doc = common.with_row_key(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    summary = common.cut(doc.select("_id", "_row", "text").mapInArrow(_summaries, "_id long, _row long, n_words long, kept_sha256 string"), "summaries")
+    summary = common.cut(doc.select("_id", "_row", "text", "doc_id").mapInArrow(_summaries, "_id long, _row long, n_words long, kept_sha256 string, doc_id long"), "summaries")
     # documents that are an earlier one's copy: all is removed if it is a window at least
     first = common.cut(summary.groupBy("kept_sha256").agg(F.min("_id").alias("_first")), "first")
     state = summary.join(first, "kept_sha256").withColumn("_copy", F.col("_id") > F.col("_first"))
-    state = common.cut(state.select("_id", "_row", "n_words", "kept_sha256", "_copy"), "state")
+    state = common.cut(state.select("_id", "doc_id", "_row", "n_words", "kept_sha256", "_copy"), "state")
     anchors = doc.select("_row", "text").mapInArrow(_anchors, "h long, _row long, at int")
     again = common.cut(anchors.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     common.release_shuffles(docs.sparkSession)
@@ -147,7 +147,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = F.col("_copy") & (F.col("n_words") >= WINDOW)
     text = F.when(gone, F.lit("")).otherwise(F.col("kept_text"))
     return out.select(
-        F.when(F.col("_id") < 2**63 - 1, F.col("_id")).alias("doc_id"), "_row", "n_words",
+        "doc_id", "_row", "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         text.alias("kept_text"), F.when(text.isNull(), F.col("kept_sha256")).otherwise(F.sha2(text, 256)).alias("kept_sha256"),
     )
