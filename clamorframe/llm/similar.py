@@ -3,9 +3,9 @@
 A SimHash of 64 bits tells texts of similarity 0.8 by 9 bits at the median and by up to 18, where no grid of
 segment counts parts them from others. So beside the grid's pairs, samples give candidates: TABLES times the
 least of the shingles' hashes in PER_KEY orders, which texts of similarity s share whole with probability
-s ** PER_KEY. Texts that share a key form blocks; in a block, leaders are chosen so that each text's estimated
-similarity to one of them is enough, and pairs of leaders and texts, not all pairs, are candidates. Leaders of
-a key's several blocks form blocks again. Candidates are then verified by their whole shingle sets: first
+s ** PER_KEY. Texts that share a key form blocks; in a block, the most central texts lead until each text's estimated similarity to a
+leader is enough, and pairs of leaders and texts, not all pairs, are candidates. Leaders of a key's several
+blocks form blocks again. Candidates are then verified by their whole shingle sets: first
 each text's best one, then those between groups that are still apart.
 """
 
@@ -27,7 +27,9 @@ TABLES, PER_KEY = 10, 5
 #: Texts that are compared in one block.
 BLOCK = 512
 #: How far an estimate may lie below the similarity that is asked for; its standard deviation is 0.06 at 0.8.
-SLACK = 0.2
+SLACK = 0.15
+#: Of a block's pairs, those of highest estimate for each text, and between a leader and each older one's texts.
+BEST = 4
 
 _MULTIPLIERS = np.random.default_rng(17).integers(1, 1 << 63, TABLES * PER_KEY, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,14 +72,39 @@ def setter(hashes_of: Callable[[str | None], np.ndarray]):
     return run
 
 
+def _central(group: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """Of each row the number of its hashes that its group's rows have in their places, which is its similarity to all of them together."""
+    out = np.zeros(len(group), np.int64)
+    large = np.flatnonzero(np.bincount(group)[group] > 2)  # of two rows either may lead
+    if len(large):
+        own = group[large]
+        for column in sign[large].T:
+            order = np.lexsort((column, own))
+            g, c = own[order], column[order]
+            run = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
+            out[large[order]] += np.bincount(run)[run]
+    return out
+
+
+def _first(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Of places in order, the first BEST for each value of the keys, by which they are sorted."""
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.arange(len(order))
+    return order[at - np.maximum.accumulate(np.where(new, at, 0)) < BEST]
+
+
 def _led(group: np.ndarray, sign: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(leader, row, estimate) of pairs that may be alike enough, and which rows lead; rows are sorted by group.
 
-    In turn each group's first row that no leader is like by ``enough`` leads, and is compared with the group's others.
+    In turn each group's most central row that no leader is like by ``enough`` leads, and is compared with the
+    group's others. Each row's best pairs are candidates, and the best of a leader with each older one's rows.
     """
     n = len(group)
-    rows, led, leads = np.arange(n), np.zeros(n, bool), np.zeros(n, bool)
-    found = []
+    rows = np.lexsort((-_central(group, sign), group))
+    led, leads, by = np.zeros(n, bool), np.zeros(n, bool), np.full(n, -1)
+    found, bridges = [], []
     while len(rows):
         free = rows[~led[rows]]
         own, at = np.unique(group[free], return_index=True)
@@ -89,11 +116,21 @@ def _led(group: np.ndarray, sign: np.ndarray, enough: float) -> tuple[np.ndarray
         others = rows[~leads[rows]]
         head = heads[np.searchsorted(own, group[others])]
         alike = (sign[others] == sign[head]).mean(axis=1)
-        led[others[alike >= enough]] = True
-        near = alike >= enough - SLACK
+        old = led[others]
+        near = ~old & (alike >= enough - SLACK)
         found.append((head[near], others[near], alike[near]))
-    head, other, alike = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (rows, rows, np.zeros(0))
-    return head, other, alike, leads
+        across = np.flatnonzero(old & (alike >= enough))
+        before = by[others]
+        best = _first(across[np.lexsort((-alike[across], before[across], head[across]))], head, before)
+        bridges.append((head[best], others[best], alike[best]))
+        fresh = ~old & (alike >= enough)
+        led[others[fresh]], by[others[fresh]] = True, head[fresh]
+    if not found:
+        return rows, rows, np.zeros(0), leads
+    head, other, alike = (np.concatenate(x) for x in zip(*found, strict=True))
+    best = _first(np.lexsort((-alike, other)), other)
+    parts = [(head[best], other[best], alike[best]), *bridges]
+    return (*(np.concatenate(x) for x in zip(*parts, strict=True)), leads)
 
 
 def _comparer(enough: float):
