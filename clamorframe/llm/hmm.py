@@ -5,7 +5,8 @@ state emits a symbol; a class then gives its word by add-one counts, which no st
 likelihood is the scaled forward recursion over its symbols times its rare words' shares of their classes.
 Counts of words cover all training texts. Frequent words' counts go with the tasks (KNOWN rows at most); all
 other words of a text are joined with the count table. Start values are the words' shares of the corpus, moved
-at random for each state; each round sums expected counts of all training texts, whole, over partitions.
+at random for each state; each round sums expected counts of all training texts, whole, over partitions, and
+rounds end when they hardly add to the likelihood.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from . import common, words
 
 STATES, HEAD, CLASSES, KNOWN = 8, 1 << 15, 1 << 11, 1 << 17
-#: Baum-Welch rounds, each over all training texts.
-ROUNDS = 14
+#: Baum-Welch rounds at most, each over all training texts; they end once a round adds less than GAIN to a symbol's log10 likelihood.
+ROUNDS, GAIN = 14, 1e-2
 #: Tokens that one recursion holds, and tokens whose hashes are counted together.
 TOKENS, COUNT_TOKENS = 500_000, 4_000_000
 END = np.uint64(1)
@@ -90,15 +91,18 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the count table (h, cls, n): KNOWN + CLASSES + 1 rows come to the driver at most."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    # the least count that KNOWN words at most have, by steps of 2 %: no task sends more than those words
+    # the most frequent words, by steps of 2 % of the count: about KNOWN of them at most, and no task sends others
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.02)))
-    least, words_of = 0.0, 0
-    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("v"), F.min("n").alias("n")).collect(), key=lambda r: -r["s"]):
-        words_of += r["v"]
-        if words_of > KNOWN:
+    room = KNOWN
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["s"]):
+        if r["v"] > room:  # of the first counts that are too many, some words by their hash
+            some = F.pmod("h", F.lit(1 << 20)) < int(0.9 * room / r["v"] * (1 << 20))
+            wanted = (step > r["s"]) | ((step == r["s"]) & some)
             break
-        least = r["n"]
-    top = counts.where(F.col("n") >= least).toArrow() if least else counts.limit(0).toArrow()
+        room -= r["v"]
+    else:
+        wanted = F.lit(True)
+    top = counts.where(wanted).toArrow()
     h, cls, n = (top.column(c).to_numpy() for c in ("h", "cls", "n"))
     order = np.lexsort((h, -n))
     h, cls, n = h[order].view(np.uint64), cls[order], n[order]
@@ -156,6 +160,12 @@ class Expected:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    score: float = 0.0  # log10 likelihood of the texts
+    symbols: float = 0.0
+
+    def add(self, other: Expected) -> None:
+        for name in ("start", "move", "emit", "score", "symbols"):
+            setattr(self, name, getattr(self, name) + getattr(other, name))
 
     def model(self, background: np.ndarray) -> Model:
         k = len(self.start)
@@ -203,6 +213,7 @@ class Texts:
 
     def expect(self, m: Model) -> Expected:
         w, states, scales = self._run(m)
+        score = float(np.log10(scales).sum())
         w /= scales
         k = len(m.start)
         b = np.ones_like(w)
@@ -218,7 +229,7 @@ class Texts:
         move = states[before].T @ w[n:]
         states *= b
         emit = np.stack([np.bincount(self.flat, states[:, i], minlength=len(m.emit)) for i in range(k)], axis=1)
-        return Expected(states[:n].sum(axis=0), move * m.move, emit)
+        return Expected(states[:n].sum(axis=0), move * m.move, emit, score, float(len(self.flat)))
 
 
 def grouped(symbols: list[np.ndarray], most: int = TOKENS) -> Iterator[list[int]]:
@@ -242,28 +253,24 @@ def _symbols(column: pa.Array) -> list[np.ndarray]:
 def sum_expected(symbols: list[np.ndarray], m: Model) -> Expected:
     out = Expected(np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit))
     for group in grouped(symbols):
-        e = Texts([symbols[i] for i in group]).expect(m)
-        out.start += e.start
-        out.move += e.move
-        out.emit += e.emit
+        out.add(Texts([symbols[i] for i in group]).expect(m))
     return out
 
 
 def _expecter(model, states: int):
-    """A row for each symbol of a task's texts, and rows -1 (start) and -2, -3, ... (moves)."""
+    """A row for each symbol of a task's texts, and rows -1 (start), -2 (score and symbols) and -3, -4, ... (moves)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         total = Expected(np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit))
         for batch in batches:
             if batch.num_rows:
-                e = sum_expected(_symbols(batch.column(0)), m)
-                total.start += e.start
-                total.move += e.move
-                total.emit += e.emit
+                total.add(sum_expected(_symbols(batch.column(0)), m))
         seen = np.flatnonzero(total.emit.sum(axis=1))
-        ids = np.concatenate([[-1], -2 - np.arange(states), seen]).astype(np.int32)
-        values = np.concatenate([total.start[None], total.move, total.emit[seen]])
+        ids = np.concatenate([[-1, -2], -3 - np.arange(states), seen]).astype(np.int32)
+        sums = np.zeros((1, states))
+        sums[0, :2] = total.score, total.symbols
+        values = np.concatenate([total.start[None], sums, total.move, total.emit[seen]])
         yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(values[:, i].copy()) for i in range(states))], names=["symbol", *(f"e{i}" for i in range(states))])
 
     return run
@@ -282,7 +289,7 @@ def _scorer(model):
     return run
 
 
-def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Model:
+def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
     spark = coded.sparkSession
     background = np.full(vocab.symbols, 1.0)
     np.add.at(background, vocab.symbol[vocab.symbol >= 0], vocab.n[vocab.symbol >= 0])
@@ -293,21 +300,27 @@ def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int
     move = np.full((states, states), 0.1 / states) + np.eye(states) * 0.9
     model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
     training = coded.where("not held_out").select("symbols")
+    before = -np.inf
     for _ in range(rounds):
         at = spark.sparkContext.broadcast(model)
         schema = "symbol int, " + ", ".join(f"e{i} double" for i in range(states))
         sums = training.mapInArrow(_expecter(at, states), schema).groupBy("symbol").agg(*(F.sum(f"e{i}").alias(f"e{i}") for i in range(states)))
-        rows = sums.toArrow()  # symbols + states + 1 rows at most
+        rows = sums.toArrow()  # symbols + states + 2 rows at most
         ids = rows.column("symbol").to_numpy()
         values = np.stack([rows.column(f"e{i}").to_numpy() for i in range(states)], axis=1)
         e = Expected(np.zeros(states), np.zeros((states, states)), np.zeros((vocab.symbols, states)))
         e.start += values[ids == -1].sum(axis=0)
         for i in range(states):
-            e.move[i] += values[ids == -2 - i].sum(axis=0)
+            e.move[i] += values[ids == -3 - i].sum(axis=0)
         e.emit[ids[ids >= 0]] = values[ids >= 0]
         model = e.model(background)
         at.unpersist()
         common.release_shuffles(spark)
+        score, symbols = values[ids == -2].sum(axis=0)[:2]
+        now = score / max(symbols, 1.0)  # of the model before this round
+        if now - before < gain:
+            break
+        before = now
     return model
 
 
