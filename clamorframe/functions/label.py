@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .decide import LOST_SHARE, decide_by_ids, decide_by_text, share_lost, valid_ids
+from .decide import LOST_SHARE, agreed_ids, decide_by_ids, decide_by_text, share_lost, valid_ids
 from .judge import is_object, strings
 from .text import PIECE_STOPWORDS, WAKE_WORDS, keep_pieces, normalize, tokens, word_list
 
@@ -85,7 +85,7 @@ def by_consensus(command: Column, hyps: Column, reply: Column) -> Column:
     n = F.size(lost)
     bundled = (n == 1) & (share_lost(F.element_at(F.concat(lost, F.array(F.lit(""))), 1), command) >= LOST_SHARE)
     kind = F.when(unheard, "repeat").when(n == 0, "answer").when((n == 1) & ~bundled, "repair").otherwise("repeat")
-    missing = F.when(kind == "answer", _nothing()).otherwise(F.when(~unheard & bundled, _nothing()).otherwise(lost))
+    missing = F.when(kind == "answer", _nothing()).otherwise(lost)  # a bundled entry is kept with its repeat
     usable = F.exists(hyps, lambda h: ~blank(h)) & is_object(reply)
     return F.when(usable, F.struct(kind.alias("kind"), missing.alias("missing")))
 
@@ -100,3 +100,26 @@ def first_target(targets: Column, kind: Column, lost: Column) -> Column:
     """The first of an array of written targets that is not empty and, in a repair, does not leak; "" if none is."""
     good = F.filter(F.slice(targets, 1, TARGET_ATTEMPTS), lambda t: ~blank(t) & ~((kind == "repair") & target_leaks(t, lost)))
     return F.coalesce(F.trim(F.get(good, F.lit(0))), F.lit(""))
+
+
+def reason_by_ids(n_pieces: Column, sides: Column) -> Column:
+    """How witnesses' lost ids came to be agreed on: ``3 pieces | [3] x [2, 3] -> agreed [3]``."""
+    shown = lambda ids: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(ids), lambda i: i.cast("string")), ", "), F.lit("]"))
+    return F.concat(n_pieces.cast("string"), F.lit(" pieces | "), F.array_join(F.transform(sides, shown), " x "), F.lit(" -> agreed "), shown(agreed_ids(sides)))
+
+
+def buckets(sides: Column) -> Column:
+    """(asr_bucket, resp_bucket): how many pieces the first and the last witness lost."""
+    count = lambda mark, i: F.concat(F.lit(mark), F.size(F.element_at(sides, i)).cast("string"))
+    return F.struct(count("a", 1).alias("asr_bucket"), count("r", -1).alias("resp_bucket"))
+
+
+def slot_words(slot: Column, described: dict[str, str]) -> Column:
+    """A slot's description; its name with spaces where it has none."""
+    table = F.create_map(*(F.lit(x) for kv in described.items() for x in kv)) if described else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(table, slot), F.replace(slot, F.lit("_"), F.lit(" ")))
+
+
+def supervised(n_prompt: Column, token_ids: Column, ignored: int = -100) -> Column:
+    """Labels of a training sequence: the ids behind the prompt, and ``ignored`` for those of the prompt."""
+    return F.transform(token_ids, lambda x, i: F.when(i >= n_prompt, x.cast("int")).otherwise(F.lit(ignored)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ PIECE_STOPWORDS = [
     "s", "that", "the", "this", "to", "what", "you", "your",
 ]
 NUMBERS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12"}
+# Marks of a two-part answer, and a heard part in quotes without a mark behind it.
+HEARD_MARK = r"\**\s*heard\s*\**\s*:\**"
+REPLY_MARK = r"\**\s*repl(?:y|ied)\s*\**\s*:\**"
+QUOTED_HEARD = "^[\\s*]*[\"“](.*?)[\"”]\\.?\\s*(.*)$"
 # End of fixed values.
 
 
@@ -93,17 +100,34 @@ def token_distance(a: Column, b: Column) -> Column:
 
 
 def heard_reply(text: Column) -> Column:
-    """(heard, reply) of a two-part answer; ("", text) where there is no such form."""
+    """(heard, reply) of a two-part answer; ("", text) where there is no such form.
+
+    The reply is behind its first mark. What stands before a mark of the heard part, wherever that is, is no
+    part of it. Without a reply mark, a quoted span at the beginning of what is left is the heard part.
+    """
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     clean = lambda c: strip(F.regexp_replace(strip(c), "^[*\"'“”]+|[*\"'“”]+$", ""))
-    reply = r"(?is)^(.*?)\**\s*repl(?:y|ied)\s*\**\s*:\**(.*)$"
-    quoted = "(?s)^[\\s*]*[\"“](.*?)[\"”]\\.?\\s*(.*)$"
-    head = r"(?is)^\s*\**\s*heard\s*\**\s*:\**"
-    before, behind = F.regexp_extract(text, reply, 1), F.regexp_extract(text, reply, 2)
-    bare = F.regexp_replace(text, head, "")
-    pair = lambda h, r: F.struct(h.alias("heard"), r.alias("reply"))
+    behind_mark = lambda c: F.regexp_replace(c, f"(?isU)^.*?{HEARD_MARK}", "")
+    whole = f"(?isU)^(.*?){REPLY_MARK}(.*)$"
+    quoted = f"(?sU){QUOTED_HEARD}"
+    bare = behind_mark(text)
+    pair = lambda h, r: F.struct(clean(h).alias("heard"), clean(r).alias("reply"))
     return (
-        F.when(text.rlike(reply), pair(clean(F.regexp_replace(before, head, "")), clean(behind)))
-        .when(bare.rlike(quoted), pair(clean(F.regexp_extract(bare, quoted, 1)), clean(F.regexp_extract(bare, quoted, 2))))
-        .otherwise(pair(F.lit(""), strip(text)))
+        F.when(text.rlike(whole), pair(behind_mark(F.regexp_extract(text, whole, 1)), F.regexp_extract(text, whole, 2)))
+        .when(bare.rlike(quoted), pair(F.regexp_extract(bare, quoted, 1), F.regexp_extract(bare, quoted, 2)))
+        .otherwise(F.struct(F.lit("").alias("heard"), strip(text).alias("reply")))
     )
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, which Spark has no function for; before ``normalize`` where texts may hold such characters."""
+
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(compose, "string")(text)
+
+
+def share_of(phrase: Column, sentence: Column) -> Column:
+    """Characters of the phrase over those of the sentence; 0 for an empty sentence."""
+    return F.coalesce(F.try_divide(F.length(phrase), F.length(sentence)), F.lit(0.0))

@@ -24,10 +24,10 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def quota(rows: DataFrame, good: Column, n: int, order: str) -> tuple[DataFrame, DataFrame]:
-    """The first ``n`` rows that are good, and the claimed rows: all up to the last of them."""
+    """The first ``n`` rows that are good, and the claimed rows: all up to the last of them, or every row where there are fewer."""
     kept = rows.where(good).orderBy(order).limit(n)
-    last = kept.agg(F.max(order).alias("_last"))
-    claimed = rows.join(F.broadcast(last), F.col(order) <= F.col("_last")).drop("_last")
+    last = kept.agg(F.when(F.count("*") >= n, F.max(order)).alias("_last"))  # one row
+    claimed = rows.join(F.broadcast(last), F.col("_last").isNull() | (F.col(order) <= F.col("_last"))).drop("_last")
     return kept, claimed
 
 

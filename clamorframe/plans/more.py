@@ -27,9 +27,9 @@ def nbest_sweep(spark, sf_dir):
 
 
 def babble_mix(spark, sf_dir):
-    """Every embedding as a quiet signal, with the noise of the first 30 at a drawn ratio; the ratio measured, to one decimal."""
+    """Every embedding as a quiet signal at 16 samples a second, with noise of the pool at a drawn ratio; the ratio measured, to one decimal."""
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: (x / 100).cast("float")).alias("audio"))
-    mixed = audio.mixed(rows.withColumn("snr_db", F.floor(draw("42:snr", F.col("id")) * 200) / 10), rows.orderBy("id").limit(30))
+    mixed = audio.mixed(rows.withColumn("snr_db", F.floor(draw("42:snr", F.col("id")) * 200) / 10), audio.noise_pool(rows, "id", rate=16))
     added = F.zip_with("noisy", "audio", lambda y, x: y - x)  # nothing reaches 1, so nothing was rescaled
     return mixed.select("id", "snr_db", F.round(10 * F.log10(audio.power(F.col("audio")) / audio.power(added)), 1).alias("measured_db"))
 
@@ -72,16 +72,18 @@ def open_calls(spark, sf_dir):
 
 
 def build_overlap(spark, sf_dir):
-    """Two builds: the users of even and of small events, each with its least value as a level."""
+    """Two builds: the users of even and of odd events, each with its least value as a level."""
     rows = judged(spark, sf_dir).groupBy("user_id", "kind")
     least = lambda c: rows.agg(F.min(F.when(c, F.col("value"))).alias("snr_db")).where("snr_db is not null")
-    found = A.build_overlap(least(F.col("event_id") % 2 == 0), least(F.col("event_id") < 3000), ["user_id", "kind"])
+    found = A.build_overlap(least(F.col("event_id") % 2 == 0), least(F.col("event_id") % 2 == 1), ["user_id", "kind"])
     return found.select("n_a", "n_b", "n_both", F.round("spread", 6).alias("spread"))
 
 
 def claimed_ids(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id")
-    return A.claimed(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), _table(spark, sf_dir, "labels"), key="doc_id")
+    """Claims of three stages: documents in English, those in other languages or none, and labelled ones."""
+    docs = _table(spark, sf_dir, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return A.claimed(docs.where(english), docs.where(~english), _table(spark, sf_dir, "labels"), key="doc_id")
 
 
 QUERIES = {f.__name__: f for f in (nbest_sweep, signal_power, babble_mix, judge_parse, second_look, score_labels, best_runs, open_calls, build_overlap, claimed_ids)}
@@ -101,6 +103,6 @@ SQL = {
     "score_labels": f"WITH {_scored_sql('tree')} SELECT kind || '@' || CASE score WHEN 0.5 THEN '0.5' ELSE score::INT::VARCHAR END AS label, count(*) AS n FROM scored WHERE score IS NOT NULL GROUP BY ALL",
     "best_runs": f"WITH {_scored_sql('tree')}, m AS (SELECT user_id % 7 AS run, {_MEANS} FROM scored GROUP BY ALL) SELECT run, {_MARKED} FROM m",
     "open_calls": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "build_overlap": f"WITH {_JUDGED}, a AS (SELECT user_id, kind, min(value) AS x FROM judged WHERE event_id % 2 = 0 AND value IS NOT NULL GROUP BY ALL), b AS (SELECT user_id, kind, min(value) AS y FROM judged WHERE event_id < 3000 AND value IS NOT NULL GROUP BY ALL) SELECT count(x) AS n_a, count(y) AS n_b, count(x + y) AS n_both, round(stddev_pop(x - y), 6) AS spread FROM a FULL JOIN b USING (user_id, kind)",
-    "claimed_ids": "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 UNION SELECT doc_id FROM labels",
+    "build_overlap": f"WITH {_JUDGED}, a AS (SELECT user_id, kind, min(value) AS x FROM judged WHERE event_id % 2 = 0 AND value IS NOT NULL GROUP BY ALL), b AS (SELECT user_id, kind, min(value) AS y FROM judged WHERE event_id % 2 = 1 AND value IS NOT NULL GROUP BY ALL) SELECT count(x) AS n_a, count(y) AS n_b, count(x + y) AS n_both, round(stddev_pop(x - y), 6) AS spread FROM a FULL JOIN b USING (user_id, kind)",
+    "claimed_ids": "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels",
 }

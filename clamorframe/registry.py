@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import more, queries
+from .plans import built, more, queries
 
-QUERIES = queries.QUERIES | more.QUERIES
-SQL = queries.SQL | more.SQL
+QUERIES = queries.QUERIES | more.QUERIES | built.QUERIES
+SQL = queries.SQL | more.SQL | built.SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -47,9 +47,15 @@ def write_log(samples: DataFrame, summary: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a log in one file or many, as (line, value) in order, for ``jsonl``."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.monotonically_increasing_id().alias("line"), "value")
+    """The lines of a log in one file or many, as (line, value), for ``jsonl``; ``line`` orders by file name, then place in the file."""
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("line"))
+    return lines.where(F.trim("value") != "").select("line", "value")
+
+
+def of_rate(rows: DataFrame, rate: int, column: str = "sampling_rate") -> tuple[DataFrame, DataFrame]:
+    """Signals of the rate, and those that are turned away, as they are not resampled; an unknown rate is turned away."""
+    fits = F.coalesce(F.col(column) == rate, F.lit(False))
+    return rows.where(fits), rows.where(~fits)
 
 
 def write_sweep(rows: DataFrame, path: str, band: str = "band") -> None:

@@ -35,6 +35,8 @@ def test_distance(spark):
         ("a b\nreplied: c", ("a b", "c")),
         ('Heard:"turn off the brightness.".turn off the brightness.', ("turn off the brightness.", "turn off the brightness.")),
         ("Heard: only this", ("", "Heard: only this")),
+        ("Sure! Heard: turn on the lamp\nReply: ok", ("turn on the lamp", "ok")),
+        ('I **heard**: "lights off". done', ("lights off", "done")),
     ],
 )
 def test_heard_reply(spark, text, want):
@@ -80,3 +82,7 @@ def test_decide_by_text(spark, command, asr, reply, kind, missing):
 def test_harmonic(spark):
     value = lambda *v: one(spark, harmonic(*map(F.lit, v)))
     assert value(0.5, 0.25, 1.0) == pytest.approx(3 / 7) and value(1.0, 1.0, 0.0) == 0 and value(0.8, 0.4) == pytest.approx(8 / 15)
+
+
+def test_compatibility_forms(spark):
+    assert one(spark, T.normalize(T.nfkc(F.lit("Ｐｌａｙ ﬁve")))) == "play five"

@@ -62,7 +62,7 @@ def test_labels(spark):
     assert one(spark, L.first_consistent(F.array(L.classified(F.lit("broken")), L.classified(reply(kind="answer"))))) is None
     consensus = lambda **x: one(spark, L.by_consensus(F.lit("play mocking bird by eminem"), strings("play it"), reply(**x)))
     assert tuple(consensus(lost=["eminem", "please"])) == ("repair", ["eminem"])
-    assert tuple(consensus(lost=["mocking bird eminem"])) == ("repeat", [])
+    assert tuple(consensus(lost=["mocking bird eminem"])) == ("repeat", ["mocking bird eminem"])
     assert tuple(consensus(lost=[], unintelligible=True)) == ("repeat", [])
     assert tuple(consensus(lost=["olly"])) == ("answer", [])
     ids = F.array(strings("2"), strings("2", "x", "9"), strings("1"))
@@ -164,3 +164,48 @@ def test_stream_claims(spark, tmp_path):
         spark.createDataFrame([(i, "x") for i in batch], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         claims.drain(claims.first_claims(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "id"), f"{tmp_path}/out", f"{tmp_path}/mark")
     assert seen() == [1, 2, 3]
+
+
+def test_build_parts(spark, tmp_path):
+    from clamorframe.operators import build as B
+    from clamorframe.operators import select as O
+    from clamorframe.sources import jsonl
+
+    rows = spark.createDataFrame([(i, i % 4 == 1) for i in range(10)], "id long, good boolean")
+    for n, kept, claimed in ((2, [1, 5], 6), (3, [1, 5, 9], 10), (4, [1, 5, 9], 10)):
+        a, b = O.quota(rows, F.col("good"), n, "id")
+        assert sorted(r["id"] for r in a.collect()) == kept and b.count() == claimed
+    a, b = O.quota(rows, F.lit(False), 2, "id")
+    assert (a.count(), b.count()) == (0, 10)
+    sides = F.array(F.array(F.lit(3)), F.array(F.lit(2), F.lit(3)))
+    assert one(spark, L.reason_by_ids(F.lit(3), sides)) == "3 pieces | [3] x [2, 3] -> agreed [3]"
+    assert tuple(one(spark, L.buckets(sides))) == ("a1", "r2")
+    assert one(spark, L.slot_words(F.lit("media_type"), {"time": "time of day"})) == "media type" and one(spark, L.slot_words(F.lit("time"), {"time": "time of day"})) == "time of day"
+    assert one(spark, L.supervised(F.lit(2), F.array(*map(F.lit, (7, 8, 9))))) == [-100, -100, 9]
+    assert one(spark, B.critical(F.lit("ab"), F.lit("abcd"))) and not one(spark, B.critical(F.lit("abc"), F.lit("abcd")))
+    assert one(spark, B.gated_target(F.lit("x"), F.lit("test"))) == "" and not one(spark, B.targets_written(strings("a", " ", "c")))
+    made = B.dataset_rows(spark.createDataFrame([(1, "answer", "yes", "no", "train")], "id long, kind string, target string, asr_transcript string, split string"), True)
+    assert made.columns == [*B.ROW, "split"] and len(B.ROW) == 17
+    assert made.first()["target"] == "Heard: no\nReply: yes" and made.first()["lost"] == [] and made.first()["snr_db"] is None
+    assert B.stacked(rows.select("id"), rows).count() == 20
+    for name, lines in (("b", ['{"a": 1}', "", '{"a": 2}']), ("a", ['{"a": 3}'] * 2000)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+    last = jsonl.last_with(tables.read_log(spark, str(tmp_path)), "a").first()["value"]
+    assert json.loads(last) == {"a": 2}
+    good, bad = tables.of_rate(spark.createDataFrame([(16000,), (8000,), (None,)], "sampling_rate int"), 16000)
+    assert (good.count(), bad.count()) == (1, 2)
+
+
+def test_evaluation(spark):
+    from clamorframe.operators import evaluate as E
+
+    data = [(1, "repair", ["x"], '{"type": "repair"}'), (2, "repair", ["x"], '{"type": "repair"}'), (3, "repair", [], '{"type": "repair"}'), (4, "answer", ["x"], '{"type": "repair"}'), (5, "repeat", [], "broken"), (6, "repair", ["x"], '{"type": "repair"}')]
+    rows = spark.createDataFrame([(*r, "Heard: a\nReply: b" if r[0] % 2 else "b") for r in data], "id long, kind string, lost array<string>, judged string, response string")
+    second = spark.createDataFrame([(1, '{"type": "repair_off"}'), (2, '{"type": "repair"}'), (4, '{"type": "repair_off"}')], "id long, answer string")
+    samples = E.by_type(E.split_responses(rows, True), second, "tree")
+    assert {r["id"]: (r["judged_type"], r["score"], r["heard"]) for r in samples.collect()} == {1: ("repair_off", 0.0, "a"), 2: ("repair", 1.0, ""), 3: ("repair", 1.0, "a"), 4: ("repair", 0.0, ""), 5: ("bad", 0.0, "a"), 6: ("repair", 1.0, "")}
+    got = E.summary(samples, ["answer", "repair"]).first()
+    assert (got["C"], got["R"], got["F"], got["EAR"], got["heard_parse_failures"], got["judge_parse_failures"]) == (0.0, 0.75, None, 0.0, 3, 1)
+    assert one(spark, E.shown_row(F.lit("c"), F.lit("r"), F.lit("repair"), strings("x"), True)).endswith('LOST PIECE: "x"') and one(spark, E.rubric(F.lit("answer"), True)) == "judge-answer"
+    scored = E.by_kind(rows.withColumn("judged", F.lit('{"score": 0.5}'))).first()
+    assert scored["score"] == 0.5 and scored["judged_type"] is None
