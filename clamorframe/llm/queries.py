@@ -17,7 +17,7 @@ QUERIES = {
     "op10_hmm_scores": hmm.op10_hmm_scores,
 }
 
-#: The others are not expressible in SQL; tests hold parts of them against plain Python, not all.
+#: The others are not expressible in SQL; tests hold them against plain Python, op2's and op7's drawn parts by what they must keep.
 SQL = {
     "op3_quality_rules": quality.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
