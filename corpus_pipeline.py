@@ -7,18 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from clamorframe.llm import common, exact_dedup, mixing, packing, quality, simhash
 
 
-#: Scratch tables of the stage before: its rows have been written when the next stage begins.
-_scratch: list = []
+#: Scratch tables of the stage before, for each input: its rows have been written when the next stage begins.
+_scratch: dict[str, list] = {}
 
 
 def stage(function):
     """A stage that first drops the scratch tables of the stage before."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.drop_tables(_scratch)
+        common.drop_tables(_scratch.pop(sf_dir, []))
         common.release_shuffles(spark)
         out, made = common.cuts_made(lambda: function(spark, docs, sf_dir))
-        _scratch[:] = made
+        _scratch[sf_dir] = made
         return out
 
     return run_stage
@@ -58,7 +58,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Packing, mixing and SimHash are not expressible in SQL; no test holds the whole pipeline against plain Python.
+#: Packing, mixing and SimHash are not expressible in SQL; a test holds each stage against plain Python on its own input.
 ORACLE_SQL = None
 
 
