@@ -3,10 +3,11 @@
 A SimHash of 64 bits tells texts of similarity 0.8 by 9 bits at the median and by up to 18, where no grid of
 segment counts parts them from others. So beside the grid's pairs, samples give candidates: TABLES times the
 least of the shingles' hashes in PER_KEY orders, which texts of similarity s share whole with probability
-s ** PER_KEY. Texts that share a key form blocks; in a block, the most central texts lead until each text's estimated similarity to a
-leader is enough, and pairs of leaders and texts, not all pairs, are candidates. Leaders of a key's several
-blocks form blocks again. Candidates are then verified by their whole shingle sets: first
-each text's best one, then those between groups that are still apart.
+s ** PER_KEY. Texts that share a key form blocks, and candidates are verified by their whole shingle sets, in
+two steps. First each text's best partner in each block is one. Then blocks whose texts are still in different
+groups get the sets themselves and compare all pairs that may be alike enough, but for those that others have
+already connected; only links are written, fewer than texts. Of a key's several blocks, the texts that lead
+form blocks again.
 """
 
 from __future__ import annotations
@@ -27,9 +28,7 @@ TABLES, PER_KEY = 10, 5
 #: Texts that are compared in one block.
 BLOCK = 512
 #: How far an estimate may lie below the similarity that is asked for; its standard deviation is 0.06 at 0.8.
-SLACK = 0.15
-#: Of a block's pairs, those of highest estimate for each text, and between a leader and each older one's texts.
-BEST = 4
+SLACK = 0.2
 
 _MULTIPLIERS = np.random.default_rng(17).integers(1, 1 << 63, TABLES * PER_KEY, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -86,67 +85,56 @@ def _central(group: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Of places in order, the first BEST for each value of the keys, by which they are sorted."""
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    at = np.arange(len(order))
-    return order[at - np.maximum.accumulate(np.where(new, at, 0)) < BEST]
+def _together(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within groups, by their distance; places are sorted by group."""
+    size = np.bincount(group)
+    left = size[group] - 1 - (np.arange(len(group)) - (np.cumsum(size) - size)[group])  # places that follow in the group
+    places = np.flatnonzero(left)
+    apart = 1
+    while len(places):
+        yield places, places + apart
+        apart += 1
+        places = places[left[places] >= apart]
 
 
-def _led(group: np.ndarray, sign: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(leader, row, estimate) of pairs that may be alike enough, and which rows lead; rows are sorted by group.
+def _alike(sign: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (sign[a] == sign[b]).mean(axis=1)
 
-    In turn each group's most central row that no leader is like by ``enough`` leads, and is compared with the
-    group's others. Each row's best pairs are candidates, and the best of a leader with each older one's rows.
-    """
+
+def _best(group: np.ndarray, sign: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(partner, row, estimate): for each row of a group the one that is most alike, if it may be alike enough."""
+    best, partner = np.full(len(group), enough - SLACK), np.full(len(group), -1)
+    for a, b in _together(group):
+        alike = _alike(sign, a, b)
+        for row, other in ((a, b), (b, a)):
+            more = (alike > best[row]) | (alike == best[row]) & (partner[row] < 0)
+            best[row[more]], partner[row[more]] = alike[more], other[more]
+    row = np.flatnonzero(partner >= 0)
+    return partner[row], row, best[row]
+
+
+def _leaders(group: np.ndarray, sign: np.ndarray, enough: float) -> np.ndarray:
+    """Which rows lead: in turn each group's most central row that no leader is like by ``enough``."""
     n = len(group)
     rows = np.lexsort((-_central(group, sign), group))
-    led, leads, by = np.zeros(n, bool), np.zeros(n, bool), np.full(n, -1)
-    found, bridges = [], []
+    led, leads = np.zeros(n, bool), np.zeros(n, bool)
     while len(rows):
-        free = rows[~led[rows]]
-        own, at = np.unique(group[free], return_index=True)
-        if not len(own):
-            break
-        heads = free[at]
-        led[heads] = leads[heads] = True
-        rows = rows[np.isin(group[rows], own)]  # groups in which a row is still to be led
-        others = rows[~leads[rows]]
-        head = heads[np.searchsorted(own, group[others])]
-        alike = (sign[others] == sign[head]).mean(axis=1)
-        old = led[others]
-        near = ~old & (alike >= enough - SLACK)
-        found.append((head[near], others[near], alike[near]))
-        across = np.flatnonzero(old & (alike >= enough))
-        before = by[others]
-        best = _first(across[np.lexsort((-alike[across], before[across], head[across]))], head, before)
-        bridges.append((head[best], others[best], alike[best]))
-        fresh = ~old & (alike >= enough)
-        led[others[fresh]], by[others[fresh]] = True, head[fresh]
-    if not found:
-        return rows, rows, np.zeros(0), leads
-    head, other, alike = (np.concatenate(x) for x in zip(*found, strict=True))
-    best = _first(np.lexsort((-alike, other)), other)
-    parts = [(head[best], other[best], alike[best]), *bridges]
-    return (*(np.concatenate(x) for x in zip(*parts, strict=True)), leads)
-
-
-def _comparer(enough: float):
-    """Rows (k, block, several, node, sign), sorted by k and block, to candidate pairs, and to leaders (v null) where a key has several blocks."""
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k, block, node = (batch.column(i).to_numpy() for i in (0, 1, 3))
-        several = batch.column(2).to_numpy(zero_copy_only=False)
-        sign = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(len(node), -1)
+        own, at = np.unique(group[rows], return_index=True)
+        heads = rows[at]
+        leads[heads] = True
+        led[rows[_alike(sign, rows, heads[np.searchsorted(own, group[rows])]) >= enough]] = True
+        rows = rows[~led[rows]]
+    return leads
+
+
+def _by_block(compare: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch]):
+    """Gives ``compare`` whole blocks of rows (k, block, several, node, sign, root, ...), sorted by k and block, with each row's group and hashes."""
+
+    def whole_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        k, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        sign = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(len(k), -1)
         group = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (block[1:] != block[:-1])]))
-        head, other, alike, leads = _led(group, sign, enough)
-        up = np.flatnonzero(leads & several)
-        none = pa.nulls(len(up), pa.int64())
-        v = pa.chunked_array([pa.array(node[other]), none]).combine_chunks()
-        est = np.concatenate([alike, np.ones(len(up))])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[head], k[up]])), pa.array(np.concatenate([node[head], node[up]])), v, pa.array(est)], names=["k", "u", "v", "alike"])
+        return compare(batch, group, sign)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -157,37 +145,106 @@ def _comparer(enough: float):
             k, block = whole.column(0).to_numpy(), whole.column(1).to_numpy()
             first = int(np.flatnonzero((k == k[-1]) & (block == block[-1]))[0])  # the last group may go on
             if first:
-                yield compare(whole.slice(0, first))
+                yield whole_blocks(whole.slice(0, first))
             held = whole.slice(first)
         if held is not None:
-            yield compare(held)
+            yield whole_blocks(held)
 
     return run
 
 
-def candidates(nodes: DataFrame, enough: float) -> DataFrame:
-    """Pairs (u, v, alike) that may be alike enough, from (node, sign, keys)."""
+def _nearest(enough: float):
+    """To each row's best pair, and to leaders (v null) where a key has several blocks."""
+
+    def compare(batch: pa.RecordBatch, group: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
+        k, node, several = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 2))
+        partner, row, alike = _best(group, sign, enough)
+        wide = np.flatnonzero(several)
+        up = wide[_leaders(np.unique(group[wide], return_inverse=True)[1], sign[wide], enough)]
+        v = pa.chunked_array([pa.array(node[row]), pa.nulls(len(up), pa.int64())]).combine_chunks()
+        est = np.concatenate([alike, np.ones(len(up))])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[row], k[up]])), pa.array(np.concatenate([node[partner], node[up]])), v, pa.array(est)], names=["k", "u", "v", "alike"])
+
+    return _by_block(compare)
+
+
+def _linked(enough: float):
+    """To pairs that are alike enough by their whole sets: as many as connect what all such pairs of a block connect, roots being connected already."""
+    percent = round(100 * enough)
+
+    def compare(batch: pa.RecordBatch, group: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
+        node, root, sets = batch.column(3).to_numpy(), batch.column(5).to_numpy(), batch.column(6)
+        edges = sets.offsets.to_numpy().astype(np.int64)
+        values, size = sets.values.to_numpy(), np.diff(edges)
+        us, vs = [], []
+        for rows in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1):
+            label = np.unique(root[rows], return_inverse=True)[1]
+            for i, row in enumerate(rows[:-1].tolist()):
+                after = np.arange(i + 1, len(rows))
+                after = after[label[after] != label[i]]
+                after = after[_alike(sign, np.full(len(after), row), rows[after]) >= enough - SLACK]
+                own = values[edges[row] : edges[row + 1]]
+                for j in after.tolist():
+                    other = rows[j]
+                    if label[j] == label[i] or 100 * min(len(own), size[other]) < percent * max(len(own), size[other]):
+                        continue
+                    both = len(np.intersect1d(own, values[edges[other] : edges[other + 1]], assume_unique=True))
+                    if 100 * both >= percent * (len(own) + size[other] - both):
+                        us.append(row)
+                        vs.append(other)
+                        label[label == label[j]] = label[i]
+        return pa.RecordBatch.from_arrays([pa.array(node[np.array(us, np.int64)]), pa.array(node[np.array(vs, np.int64)])], names=["u", "v"])
+
+    return _by_block(compare)
+
+
+def _blocks(level: DataFrame, nodes: DataFrame, depth: int, *more: str) -> DataFrame:
+    """Rows (k, block, several, node, sign, root, and ``more``) of the texts (k, n, node), sorted within partitions that hold whole blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = level.join(nodes.hint("merge"), "node")
+    rows = rows.select("k", F.pmod(F.xxhash64("node", F.lit(depth)), blocks).alias("block"), (blocks > 1).alias("several"), "node", "sign", "root", *more)
+    return rows.repartition("k", "block").sortWithinPartitions("k", "block", "node")
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def nearest(nodes: DataFrame, enough: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Each text's best pairs (u, v, alike) that may be alike enough, from (node, sign, keys), and the texts (k, n, node) of each level of blocks."""
     member = nodes.select("node", F.explode("keys").alias("k"))
     shared = common.cut(member.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    level, found = common.cut(member.join(shared.hint("merge"), "k").select("k", "n", "node"), "members"), []
+    levels, found = [common.cut(member.join(shared.hint("merge"), "k").select("k", "n", "node"), "members")], []
+    signs = nodes.select("node", "sign", F.lit(0).cast("long").alias("root"))
     while True:
-        blocks = F.ceil(F.col("n") / BLOCK)
-        rows = level.join(nodes.select("node", "sign").hint("merge"), "node")
-        rows = rows.select("k", F.pmod(F.xxhash64("node", F.lit(len(found))), blocks).alias("block"), (blocks > 1).alias("several"), "node", "sign")
-        rows = rows.repartition("k", "block").sortWithinPartitions("k", "block", "node")
-        out = common.cut(rows.mapInArrow(_comparer(enough), "k long, u long, v long, alike double"), "led")
+        rows = _blocks(levels[-1], signs, len(found))
+        out = common.cut(rows.mapInArrow(_nearest(enough), "k long, u long, v long, alike double"), "nearest")
         found.append(out.where("v is not null").select("u", "v", "alike"))
         leaders = out.where("v is null").select("k", F.col("u").alias("node"))
         sizes = common.cut(leaders.groupBy("k").agg(F.count("*").alias("n")), "leaders")
         before, after = (x.agg(F.sum("n")).first()[0] or 0 for x in (shared.where(f"n > {BLOCK}"), sizes))
         shared = sizes
         if not after or 4 * after > 3 * before:  # blocks of texts that are unlike each other: no fewer leaders than texts
-            break
-        level = common.cut(leaders.join(sizes.hint("merge"), "k").select("k", "n", "node"), "members")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            return _all_of(found), levels
+        levels.append(common.cut(leaders.join(sizes.hint("merge"), "k").select("k", "n", "node"), "members"))
+
+
+def links_between(levels: list[DataFrame], nodes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], enough: float) -> DataFrame:
+    """Pairs (u, v) alike enough that connect, with what the roots connect, all such pairs of a block."""
+    nodes = common.cut(nodes.join(roots, "node", "left").select("node", "sign", F.coalesce("root", "node").alias("root")), "rooted")
+    found = []
+    for depth, level in enumerate(levels):
+        spread = level.join(nodes.select("node", "root").hint("merge"), "node").groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+        spread = common.cut(spread.where("a <> b").select("k"), "spread")
+        level = common.cut(level.join(spread.hint("merge"), "k"), "apart")
+        sets = sets_of(level.select("node"))
+        rows = _blocks(level, nodes.join(sets.hint("merge"), "node"), depth, "shingles")
+        found.append(common.cut(rows.mapInArrow(_linked(enough), "u long, v long"), "links"))
+        common.drop_cut(sets)
+    return _all_of(found)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, enough: float) -> DataFrame:
@@ -211,17 +268,29 @@ def groups(docs: DataFrame, hashes_of: Callable[[str | None], np.ndarray], finge
     by_fp = common.cut(nodes.groupBy("fp").agg(F.min("node").alias("node")), "by_fp")
     ends = [by_fp.select(F.col("fp").alias(f"{x}_fp"), F.col("node").alias(x)) for x in "uv"]
     linked = links(by_fp.select("fp")).toDF("u_fp", "v_fp").join(ends[0], "u_fp").join(ends[1], "v_fp").select("u", "v", F.lit(1.0).alias("alike"))
-    pairs = candidates(nodes.select("node", "sign", "keys"), enough).unionByName(linked)
-    pairs = common.cut(pairs.groupBy("u", "v").agg(F.max("alike").alias("alike")), "pairs")
-    involved = pairs.select(F.col("u").alias("_row")).unionByName(pairs.select(F.col("v").alias("_row"))).distinct()
-    texts = doc.select("_row", "text").join(common.cut(involved, "involved").hint("merge"), "_row")
-    sets = common.cut(texts.mapInArrow(setter(hashes_of), "node long, shingles array<long>"), "sets")
+    linked = common.cut(linked, "linked")
+    first, levels = nearest(nodes.select("node", "sign", "keys"), enough)
+    pairs = common.cut(first.unionByName(linked).groupBy("u", "v").agg(F.max("alike").alias("alike")), "pairs")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = doc.select("_row", "text").join(common.cut(some.distinct().toDF("_row"), "involved").hint("merge"), "_row")
+        return common.cut(texts.mapInArrow(setter(hashes_of), "node long, shingles array<long>"), "sets")
+
+    def alike_enough(some: DataFrame) -> DataFrame:
+        sets = sets_of(some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))))
+        out = common.cut(verified(some, sets, enough), "edges")
+        common.drop_cut(sets)
+        return out
+
     best = pairs.groupBy("v").agg(F.max(F.struct("alike", (-F.col("u")).alias("u"))).alias("b")).select((-F.col("b.u")).alias("u"), "v")
-    edges = common.cut(verified(best, sets, enough), "edges")
+    edges = alike_enough(common.cut(best, "best"))
+    roots = components(edges)
+    more = links_between(levels, nodes, roots, sets_of, enough)
+    edges = common.cut(edges.unionByName(more), "edges")
     roots = components(edges)
     root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    apart = pairs.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
-    more = common.cut(verified(apart, sets, enough), "edges")
+    apart = linked.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+    more = alike_enough(common.cut(apart.select("u", "v"), "apart"))
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     own = nodes.select("set", "node").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))

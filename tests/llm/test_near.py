@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -135,3 +136,30 @@ def test_large_groups_of_near_copies(spark, tmp_path, monkeypatch, block):
     docs = table(spark, f"{tmp_path}/d", copies + others, range(900))
     root = {r["doc_id"]: r["root"] for r in groups_of(docs).collect()}
     assert len({root[i] for i in range(700)}) == 1 and len({root[i] for i in range(700, 900)}) == 200
+
+
+def test_blocks_lose_no_link():
+    """Many partners whose samples are as good, of which few are alike enough: what is linked connects as all pairs would."""
+    rng = random.Random(6)
+    sets = []
+    for group in range(6):
+        core = [rng.getrandbits(40) for _ in range(60)]
+        for _ in range(40):
+            core = core[rng.randint(4, 9) :] + [rng.getrandbits(40) for _ in range(rng.randint(4, 9))]  # alike with a few before it only
+            sets.append((group, sorted(core)))
+    sign = np.zeros(50, np.uint32).tobytes()
+    n = len(sets)
+    root = list(range(n))
+    for i in range(0, n, 40):
+        root[i + 1] = root[i]  # connected before
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([g for g, _ in sets], pa.int64()), pa.array([0] * n, pa.int64()), pa.array([False] * n), pa.array(range(n), pa.int64()), pa.array([sign] * n), pa.array(root, pa.int64()), pa.array([x for _, x in sets], pa.list_(pa.int64()))],
+        names=["k", "block", "several", "node", "sign", "root", "shingles"],
+    )
+    parts = [rows.slice(at, 7) for at in range(0, n, 7)]
+    got = [(u, v) for out in similar._linked(0.8)(iter(parts)) for u, v in zip(*(x.to_pylist() for x in out.columns), strict=True)]
+    alike = lambda a, b: 10 * len(set(a) & set(b)) >= 8 * len(set(a) | set(b))
+    pairs = [(i, j) for i in range(n) for j in range(i) if sets[i][0] == sets[j][0] and alike(sets[i][1], sets[j][1])]
+    before = [(i, r) for i, r in enumerate(root)]
+    assert len(got) < n and united(n, got + before) == united(n, pairs + before)
+    assert 1 < len(set(united(n, pairs))) < n
