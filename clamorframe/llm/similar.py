@@ -4,10 +4,10 @@ A SimHash of 64 bits tells texts of similarity 0.8 by 9 bits at the median and b
 segment counts parts them from others. So beside the grid's pairs, samples give candidates: TABLES times the
 least of the shingles' hashes in PER_KEY orders, which texts of similarity s share whole with probability
 s ** PER_KEY. Texts that share a key form blocks, and candidates are verified by their whole shingle sets, in
-two steps. First each text's best partner in each block is one. Then blocks whose texts are still in different
-groups get the sets themselves and compare all pairs that may be alike enough, but for those that others have
-already connected; only links are written, fewer than texts. Of a key's several blocks, the texts that lead
-form blocks again.
+two steps. First each text's best partner in each block is one; of a key's several blocks, the texts that lead form
+blocks again. Then, of each key whose texts are still in different groups, the texts outside its largest group
+meet all its texts, block by block, with the sets themselves: all pairs that may be alike enough are compared,
+but for those that others have already connected. Only links are written, fewer than texts.
 """
 
 from __future__ import annotations
@@ -169,22 +169,28 @@ def _nearest(enough: float):
 
 
 def _linked(enough: float):
-    """To pairs that are alike enough by their whole sets: as many as connect what all such pairs of a block connect, roots being connected already."""
+    """To pairs that are alike enough by their whole sets: as many as connect what all such pairs of a guest and another row connect, roots being connected already."""
     percent = round(100 * enough)
 
     def compare(batch: pa.RecordBatch, group: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
-        node, root, sets = batch.column(3).to_numpy(), batch.column(5).to_numpy(), batch.column(6)
+        several, node, root, guest = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 5, 6))
+        sets = batch.column(7)
         edges = sets.offsets.to_numpy().astype(np.int64)
         values, size = sets.values.to_numpy(), np.diff(edges)
         us, vs = [], []
         for rows in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1):
             label = np.unique(root[rows], return_inverse=True)[1]
-            for i, row in enumerate(rows[:-1].tolist()):
-                after = np.arange(i + 1, len(rows))
-                after = after[label[after] != label[i]]
-                after = after[_alike(sign, np.full(len(after), row), rows[after]) >= enough - SLACK]
+            comes = guest[rows]
+            at_home = np.flatnonzero(~comes)
+            guests = np.flatnonzero(comes)
+            for x, i in enumerate(guests.tolist()):
+                row = rows[i]
+                # where a key has several blocks, each guest is at home in one of them and meets the other guests there
+                others = at_home if several[row] else np.concatenate([at_home, guests[x + 1 :]])
+                others = others[label[others] != label[i]]
+                others = others[_alike(sign, np.full(len(others), row), rows[others]) >= enough - SLACK]
                 own = values[edges[row] : edges[row + 1]]
-                for j in after.tolist():
+                for j in others.tolist():
                     other = rows[j]
                     if label[j] == label[i] or 100 * min(len(own), size[other]) < percent * max(len(own), size[other]):
                         continue
@@ -198,14 +204,33 @@ def _linked(enough: float):
     return _by_block(compare)
 
 
-def _blocks(level: DataFrame, nodes: DataFrame, depth: int, *more: str) -> DataFrame:
-    """Rows (k, block, several, node, sign, root, and ``more``) of the texts (k, n, node), sorted within partitions that hold whole blocks."""
+def _blocks(level: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """Rows (k, block, several, node, sign, root) of the texts (k, n, node), sorted within partitions that hold whole blocks."""
     blocks = F.ceil(F.col("n") / BLOCK)
     rows = level.join(nodes.hint("merge"), "node")
-    rows = rows.select("k", F.pmod(F.xxhash64("node", F.lit(depth)), blocks).alias("block"), (blocks > 1).alias("several"), "node", "sign", "root", *more)
+    rows = rows.select("k", F.pmod(F.xxhash64("node", F.lit(depth)), blocks).alias("block"), (blocks > 1).alias("several"), "node", "sign", "root")
+    return _whole(rows)
+
+
+def _whole(rows: DataFrame) -> DataFrame:
     return rows.repartition("k", "block").sortWithinPartitions("k", "block", "node")
 
 
+def _met(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (k, block, several, node, sign, root, guest, shingles): of the texts (k, n, m, main, node) those outside the root
+    that most of a key's n texts have, its m guests, meet every text of the key. Blocks of guests meet blocks of all texts."""
+    rows = apart.join(nodes.hint("merge"), "node")
+    homes, guests = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK)
+    at = lambda seed, blocks: F.pmod(F.xxhash64("node", F.lit(seed)), blocks)
+    comes = F.col("root") != F.col("main")
+    place = lambda i, j, guest: F.struct((i * guests + j).alias("block"), guest.alias("guest"))
+    as_home = F.transform(F.sequence(F.lit(0).cast("long"), guests - 1), lambda j: place(at(0, homes), j, F.lit(False)))
+    as_guest = F.transform(F.sequence(F.lit(0).cast("long"), homes - 1), lambda i: place(i, at(1, guests), F.lit(True)))
+    places = F.when(homes == 1, F.array(place(F.lit(0).cast("long"), F.lit(0).cast("long"), comes))).when(comes, F.concat(as_home, as_guest)).otherwise(as_home)
+    rows = rows.select("k", F.explode(places).alias("p"), (homes > 1).alias("several"), "node", "sign", "root", "shingles")
+    return _whole(rows.select("k", "p.block", "several", "node", "sign", "root", "p.guest", "shingles"))
+
+
 def _all_of(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
@@ -213,8 +238,8 @@ def _all_of(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def nearest(nodes: DataFrame, enough: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Each text's best pairs (u, v, alike) that may be alike enough, from (node, sign, keys), and the texts (k, n, node) of each level of blocks."""
+def nearest(nodes: DataFrame, enough: float) -> tuple[DataFrame, DataFrame]:
+    """Each text's best pairs (u, v, alike) that may be alike enough, from (node, sign, keys), and the texts (k, n, node) of the keys that several share."""
     member = nodes.select("node", F.explode("keys").alias("k"))
     shared = common.cut(member.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     levels, found = [common.cut(member.join(shared.hint("merge"), "k").select("k", "n", "node"), "members")], []
@@ -228,23 +253,23 @@ def nearest(nodes: DataFrame, enough: float) -> tuple[DataFrame, list[DataFrame]
         before, after = (x.agg(F.sum("n")).first()[0] or 0 for x in (shared.where(f"n > {BLOCK}"), sizes))
         shared = sizes
         if not after or 4 * after > 3 * before:  # blocks of texts that are unlike each other: no fewer leaders than texts
-            return _all_of(found), levels
+            return _all_of(found), levels[0]
         levels.append(common.cut(leaders.join(sizes.hint("merge"), "k").select("k", "n", "node"), "members"))
 
 
-def links_between(levels: list[DataFrame], nodes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], enough: float) -> DataFrame:
-    """Pairs (u, v) alike enough that connect, with what the roots connect, all such pairs of a block."""
+def links_between(members: DataFrame, nodes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], enough: float) -> DataFrame:
+    """Pairs (u, v) alike enough that connect, with what the roots connect, all such pairs of texts (k, node) that share a key."""
     nodes = common.cut(nodes.join(roots, "node", "left").select("node", "sign", F.coalesce("root", "node").alias("root")), "rooted")
-    found = []
-    for depth, level in enumerate(levels):
-        spread = level.join(nodes.select("node", "root").hint("merge"), "node").groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-        spread = common.cut(spread.where("a <> b").select("k"), "spread")
-        level = common.cut(level.join(spread.hint("merge"), "k"), "apart")
-        sets = sets_of(level.select("node"))
-        rows = _blocks(level, nodes.join(sets.hint("merge"), "node"), depth, "shingles")
-        found.append(common.cut(rows.mapInArrow(_linked(enough), "u long, v long"), "links"))
-        common.drop_cut(sets)
-    return _all_of(found)
+    rooted = common.cut(members.select("k", "node").join(nodes.select("node", "root").hint("merge"), "node"), "rooted")
+    each = rooted.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k")
+    keys = each.agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    keys = common.cut(keys.select("k", "n", (F.col("n") - F.col("most.c")).alias("m"), F.col("most.root").alias("main")), "spread")
+    apart = common.cut(rooted.select("k", "node").join(keys.hint("merge"), "k"), "apart")
+    common.drop_cut(rooted)
+    sets = sets_of(apart.select("node"))
+    out = common.cut(_met(apart, nodes.join(sets.hint("merge"), "node")).mapInArrow(_linked(enough), "u long, v long"), "links")
+    common.drop_cut(sets)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, enough: float) -> DataFrame:
@@ -269,7 +294,7 @@ def groups(docs: DataFrame, hashes_of: Callable[[str | None], np.ndarray], finge
     ends = [by_fp.select(F.col("fp").alias(f"{x}_fp"), F.col("node").alias(x)) for x in "uv"]
     linked = links(by_fp.select("fp")).toDF("u_fp", "v_fp").join(ends[0], "u_fp").join(ends[1], "v_fp").select("u", "v", F.lit(1.0).alias("alike"))
     linked = common.cut(linked, "linked")
-    first, levels = nearest(nodes.select("node", "sign", "keys"), enough)
+    first, members = nearest(nodes.select("node", "sign", "keys"), enough)
     pairs = common.cut(first.unionByName(linked).groupBy("u", "v").agg(F.max("alike").alias("alike")), "pairs")
 
     def sets_of(some: DataFrame) -> DataFrame:
@@ -285,7 +310,7 @@ def groups(docs: DataFrame, hashes_of: Callable[[str | None], np.ndarray], finge
     best = pairs.groupBy("v").agg(F.max(F.struct("alike", (-F.col("u")).alias("u"))).alias("b")).select((-F.col("b.u")).alias("u"), "v")
     edges = alike_enough(common.cut(best, "best"))
     roots = components(edges)
-    more = links_between(levels, nodes, roots, sets_of, enough)
+    more = links_between(members, nodes, roots, sets_of, enough)
     edges = common.cut(edges.unionByName(more), "edges")
     roots = components(edges)
     root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))

@@ -153,8 +153,8 @@ def test_blocks_lose_no_link():
     for i in range(0, n, 40):
         root[i + 1] = root[i]  # connected before
     rows = pa.RecordBatch.from_arrays(
-        [pa.array([g for g, _ in sets], pa.int64()), pa.array([0] * n, pa.int64()), pa.array([False] * n), pa.array(range(n), pa.int64()), pa.array([sign] * n), pa.array(root, pa.int64()), pa.array([x for _, x in sets], pa.list_(pa.int64()))],
-        names=["k", "block", "several", "node", "sign", "root", "shingles"],
+        [pa.array([g for g, _ in sets], pa.int64()), pa.array([0] * n, pa.int64()), pa.array([False] * n), pa.array(range(n), pa.int64()), pa.array([sign] * n), pa.array(root, pa.int64()), pa.array([True] * n), pa.array([x for _, x in sets], pa.list_(pa.int64()))],
+        names=["k", "block", "several", "node", "sign", "root", "guest", "shingles"],
     )
     parts = [rows.slice(at, 7) for at in range(0, n, 7)]
     got = [(u, v) for out in similar._linked(0.8)(iter(parts)) for u, v in zip(*(x.to_pylist() for x in out.columns), strict=True)]
@@ -163,3 +163,30 @@ def test_blocks_lose_no_link():
     before = [(i, r) for i, r in enumerate(root)]
     assert len(got) < n and united(n, got + before) == united(n, pairs + before)
     assert 1 < len(set(united(n, pairs))) < n
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_keys_of_many_blocks_lose_no_link(spark, monkeypatch, block):
+    """Texts that share every sample, more than a block holds, most of them unlike: wherever two that are alike stand, they are linked."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(7)
+    sets = []
+    for _ in range(60):
+        core = [rng.getrandbits(40) for _ in range(40)]
+        for _ in range(rng.randint(1, 6)):
+            core = core[rng.randint(1, 6) :] + [rng.getrandbits(40) for _ in range(rng.randint(1, 6))]
+            sets.append(sorted(core))
+    rng.shuffle(sets)
+    n = len(sets)
+    alike = lambda a, b: 10 * len(set(a) & set(b)) >= 8 * len(set(a) | set(b))
+    pairs = [(i, j) for i in range(n) for j in range(i) if alike(sets[i], sets[j])]
+    sign = bytes(200)
+    members = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(n) if k == 1 or i % 3 == 0], "k long, node long")
+    nodes = spark.createDataFrame([(i, sign) for i in range(n)], "node long, sign binary")
+    known = [(i, 0) for i in range(1, n) if rng.random() < 0.3]  # one large group that is connected before
+    roots = spark.createDataFrame(known, "node long, root long")
+    shingles = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    sets_of = lambda some: shingles.join(some.distinct(), "node")
+    got = [(r["u"], r["v"]) for r in similar.links_between(members, nodes, roots, sets_of, 0.8).collect()]
+    assert n > 150 and len(pairs) > 60 and all(alike(sets[u], sets[v]) for u, v in got)
+    assert united(n, got + known) == united(n, pairs + known) and len(set(united(n, pairs))) > 40
