@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hmm, lines, mixing, packing, quality, rans, secrets, simhash, substrings
+from . import exact_dedup, hmm, lines, mixing, packing, quality, rans, search, secrets, simhash, substrings
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_rans_token_files": rans.op8_rans_token_files,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_hmm_scores": hmm.op10_hmm_scores,
+    "op11_ranked_search": search.op11_ranked_search,
 }
 
 #: The others are not expressible in SQL; tests hold them against plain Python, op2's and op7's drawn parts by what they must keep.
 SQL = {
     "op3_quality_rules": quality.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_ranked_search": search.OP11_SQL,
 }

@@ -17,13 +17,13 @@ LOWER[65:91] += 32
 _tables: dict[str, np.ndarray] = {}
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte and end of each word, and for each text the index of its first word (one entry more than texts)."""
+def bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word, and for each text the index of its first word (one entry more than texts). ``gap``: which bytes part words."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~gap[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < n)]
