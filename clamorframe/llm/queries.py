@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hmm, imatch, lines, mixing, packing, quality, rans, search, secrets, simhash, substrings
+from . import alignment, exact_dedup, hmm, imatch, lines, mixing, packing, quality, rans, search, secrets, simhash, substrings
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_hmm_scores": hmm.op10_hmm_scores,
     "op11_ranked_search": search.op11_ranked_search,
     "op12_imatch_fingerprints": imatch.op12_imatch_fingerprints,
+    "op13_cross_alignment": alignment.op13_cross_alignment,
 }
 
 #: The others are not expressible in SQL; tests hold them against plain Python, op2's and op7's drawn parts by what they must keep.
