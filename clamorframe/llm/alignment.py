@@ -30,6 +30,8 @@ from . import common, tokens, words
 
 #: Text bytes of a block of documents; a longer document is a block of its own.
 BLOCK_BYTES = 24 << 20
+#: Entries whose links are Python numbers at a time.
+NAMED = 20_000
 #: Signs before which a text may be parted where no token holds them and the byte before side by side.
 PARTING = b" .,;:!?"
 
@@ -207,12 +209,17 @@ def align(rows: DataFrame) -> DataFrame:
 
 def _aligned_pieces(pieces: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """piece, links: one long a link, in order: the ids of both sides and, in the lowest two bits, whether their tokens end there. Pieces whose bytes a side changes have none."""
-    vocabulary = common.cut(pieces.select("piece").distinct(), "pieces")
-    vocabulary = vocabulary.select(F.monotonically_increasing_id().alias("k"), "piece")
-    links = align(vocabulary.mapInArrow(_encoder(paths), "k long, a array<struct<id:int,bytes:int>>, b array<struct<id:int,bytes:int>>"))
+    distinct = common.cut(pieces.select("piece").distinct(), "pieces")
+    vocabulary = distinct.select(F.monotonically_increasing_id().alias("k"), "piece")
+    encoded = common.cut(vocabulary.mapInArrow(_encoder(paths), "k long, a array<struct<id:int,bytes:int>>, b array<struct<id:int,bytes:int>>"), "encoded")
+    links = align(encoded)
     packed = F.shiftleft(F.col("a").cast("long"), 33) + F.shiftleft(F.col("b").cast("long"), 2) + 2 * F.col("a_ends").cast("int") + F.col("b_ends").cast("int")
     each = links.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("end", packed.alias("v")))), lambda x: x["v"]).alias("links"))
-    return vocabulary.join(each.hint("merge"), "k", "left").select("piece", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
+    out = vocabulary.join(each.hint("merge"), "k", "left").select("piece", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
+    out = common.cut(out, "aligned")
+    common.drop_cut(distinct)
+    common.drop_cut(encoded)
+    return out
 
 
 def _compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
@@ -251,20 +258,23 @@ def _compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
 
 def _group_names(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, edges: np.ndarray) -> list[str]:
     """Each entry's groups, as ids of both sides."""
-    out, left, right, groups = [], [], [], []
-    rows = zip(a.tolist(), b.tolist(), ends_a.tolist(), ends_b.tolist(), strict=True)
-    for n in np.diff(edges).tolist():
-        for _ in range(n):
-            x, y, x_ends, y_ends = next(rows)
-            if x_ends:
-                left.append(str(x))
-            if y_ends:
-                right.append(str(y))
+    out = []
+    for low in range(0, len(edges) - 1, NAMED):
+        part = edges[low : low + NAMED + 1]
+        own = slice(part[0], part[-1])
+        rows = zip(a[own].tolist(), b[own].tolist(), ends_a[own].tolist(), ends_b[own].tolist(), strict=True)
+        for n in np.diff(part).tolist():
+            groups, left, right = [], [], []
+            for _ in range(n):
+                x, y, x_ends, y_ends = next(rows)
                 if x_ends:
-                    groups.append(",".join(left) + "|" + ",".join(right))
-                    left, right = [], []
-        out.append(";".join(groups))
-        groups = []
+                    left.append(str(x))
+                if y_ends:
+                    right.append(str(y))
+                    if x_ends:
+                        groups.append(",".join(left) + "|" + ",".join(right))
+                        left, right = [], []
+            out.append(";".join(groups))
     return out
 
 
@@ -278,7 +288,7 @@ def composed(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame
     was = spark.conf.get(once)
     spark.conf.set(once, "false")  # joins on (text, end) keep the partitioning by text
     try:
-        links = common.cut(_aligned_pieces(pieces, paths), "aligned")
+        links = _aligned_pieces(pieces, paths)
     finally:
         spark.conf.set(once, was)
     common.release_shuffles(spark)
