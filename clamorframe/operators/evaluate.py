@@ -7,15 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions import judge as J
 from ..functions.text import heard_reply
+from ..sources.provider import request_key
 from . import score as S
 
 
+def _line(name: str, text: Column) -> Column:
+    return F.concat(F.lit(f"{name}: "), F.coalesce(text, F.lit("")), F.lit("\n"))
+
+
 def shown_row(sentence: Column, reply: Column, kind: Column, lost: Column, per_kind: bool) -> Column:
-    """What a judge is shown: the command and the reply, and the lost piece where a repair is judged by its own rubric."""
-    both = F.concat(F.lit("COMMAND: "), F.coalesce(sentence, F.lit("")), F.lit("\nREPLY: "), F.coalesce(reply, F.lit("")))
-    if not per_kind:
-        return both
-    return F.when(kind == "repair", F.concat(both, F.lit("\nLOST PIECE: "), J.shown(lost))).otherwise(both)
+    """What a judge is shown, a line each: the command, the lost piece where a repair is judged by its own rubric, and the reply."""
+    piece = F.when(F.lit(per_kind) & (kind == "repair"), _line("LOST PIECE", J.shown(lost))).otherwise("")
+    return F.concat(_line("COMMAND", sentence), F.coalesce(piece, F.lit("")), _line("REPLY", reply))
+
+
+def shown_target(sentence: Column, reply: Column, lost: Column) -> Column:
+    """What the second judge is shown, who tells whether a repair asks for what was lost."""
+    return F.concat(_line("COMMAND", sentence), _line("LOST PIECE", J.shown(lost)), _line("REPLY", reply))
+
+
+def second_requests(rows: DataFrame, matrix: str, system: str, sentence: str = "sentence", reply: str = "reply") -> DataFrame:
+    """``rows`` that the second judge is to see, with request_key and user, from the first judge's reply ``judged``."""
+    asks = J.needs_second_look(F.col("kind"), J.judged_type(F.col("judged"))["type"], F.col("lost"), matrix)
+    user = shown_target(F.col(sentence), F.col(reply), F.col("lost"))
+    return rows.where(asks).withColumn("user", user).withColumn("request_key", request_key(F.lit(system), F.col("user")))
 
 
 def rubric(kind: Column, per_kind: bool) -> Column:
@@ -32,32 +47,37 @@ def split_responses(rows: DataFrame, with_heard: bool) -> DataFrame:
 
 
 def by_type(rows: DataFrame, second: DataFrame, matrix: str, key: str = "id") -> DataFrame:
-    """judged_type, judge_failed and score from ``judged`` (the first judge's reply); ``second`` (key, answer) is asked only where it matters.
+    """judged_type, judge_failed, unanswered and score from ``judged`` (the first judge's reply); ``second`` (key, answer) is asked only where it matters.
 
-    A row that the second stage was to see but has no answer to keeps the first judge's type.
+    A row without a reply of the first judge, or of the second where that was to see it, is an error row: unanswered, its
+    type and score null. A reply that cannot be read is ``bad``, and judge_failed.
     """
     first = rows.withColumn("_first", J.judged_type(F.col("judged")))
-    asks = J.needs_second_look(F.col("kind"), F.col("_first.type"), F.col("lost"), matrix)
-    answers = second.groupBy(key).agg(F.min("answer").alias("_answer"))
+    asks = F.coalesce(J.needs_second_look(F.col("kind"), F.col("_first.type"), F.col("lost"), matrix), F.lit(False))
+    answers = second.where("answer is not null").groupBy(key).agg(F.min("answer").alias("_answer"))
     both = first.withColumn("_asks", asks).join(answers, key, "left").withColumn("_second", J.judged_type(F.col("_answer")))
-    use = F.col("_asks") & F.col("_answer").isNotNull()
-    out = both.withColumns({
-        "judged_type": F.when(use, F.col("_second.type")).otherwise(F.col("_first.type")),
-        "judge_failed": F.col("_first.failed") | (use & F.col("_second.failed")),
-    })
+    answered = F.col("judged").isNotNull() & (~F.col("_asks") | F.col("_answer").isNotNull())
+    said = F.when(F.col("_asks"), F.col("_second")).otherwise(F.col("_first"))
+    out = both.withColumns({"judged_type": F.when(answered, said["type"]), "judge_failed": answered & said["failed"], "unanswered": ~answered})
     return out.withColumn("score", S.score_of(F.col("kind"), F.col("judged_type"), matrix)).drop("_first", "_second", "_asks", "_answer")
 
 
 def by_kind(rows: DataFrame) -> DataFrame:
-    """score and judge_failed from ``judged``, a per-kind judge's reply; there is no type."""
+    """score, judge_failed and unanswered from ``judged``, a per-kind judge's reply; there is no type. A row without a reply has no score."""
     found = rows.withColumn("_s", J.judged_score(F.col("judged")))
-    return found.select("*", F.lit(None).cast("string").alias("judged_type"), F.col("_s.failed").alias("judge_failed"), F.col("_s.score").alias("score")).drop("_s")
+    there = F.col("judged").isNotNull()
+    return found.select("*", F.lit(None).cast("string").alias("judged_type"), (there & F.col("_s.failed")).alias("judge_failed"), (~there).alias("unanswered"), F.when(there, F.col("_s.score")).alias("score")).drop("_s")
 
 
 def summary(samples: DataFrame, kinds: list[str] = S.KINDS) -> DataFrame:
-    """One row: C, R and F (null for a kind not asked for, 0 for one without rows), EAR over those asked for, and counts."""
+    """One row: C, R and F (null for a kind not asked for, 0 for one without scores), EAR over those asked for, and counts.
+
+    Means are over rows with a score; unanswered and unscored count those that have none, and why: no reply, or a type that the
+    matrix has no score for.
+    """
     mean = lambda k: F.coalesce(F.avg(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)) if k in kinds else F.lit(None).cast("double")
     names = dict(zip(S.KINDS, ("C", "R", "F"), strict=True))
     count = [F.count_if(F.col("kind") == k).alias(f"{k}_rows") for k in S.KINDS]
-    out = samples.agg(*(mean(k).alias(n) for k, n in names.items()), *count, F.count_if("heard_failed").alias("heard_parse_failures"), F.count_if("judge_failed").alias("judge_parse_failures"))
+    out = samples.agg(*(mean(k).alias(n) for k, n in names.items()), *count, F.count_if("heard_failed").alias("heard_parse_failures"), F.count_if("judge_failed").alias("judge_parse_failures"),
+                      F.count_if("unanswered").alias("unanswered_rows"), F.count_if(F.col("score").isNull() & ~F.col("unanswered")).alias("unscored_rows"))
     return out.withColumn("EAR", S.harmonic(*(F.col(names[k]) for k in kinds)))

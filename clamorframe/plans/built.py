@@ -113,12 +113,12 @@ def json_last_wins(spark, sf_dir):
 
 
 def eval_run(spark, sf_dir):
-    """An evaluation from judges' replies to its summary; a second judge finds every third repair off."""
+    """An evaluation from judges' replies to its summary; a second judge finds half of the repairs off and has not answered to a fifth."""
     rows = judged(spark, sf_dir).select("event_id", "kind", F.array(F.lit("x")).alias("lost"), F.when(F.col("event_id") % 11 == 0, "no json").otherwise(F.concat(F.lit('{"type": "'), "judged", F.lit('"}'))).alias("judged"), F.lit("a").alias("response"))
-    second = rows.where("event_id % 3 = 1").select("event_id", F.when(F.col("event_id") % 2 == 0, '{"type": "repair_off"}').otherwise('{"type": "repair"}').alias("answer"))
+    second = rows.where("event_id % 3 = 1 and event_id % 5 <> 0").select("event_id", F.when(F.col("event_id") % 2 == 0, '{"type": "repair_off"}').otherwise('{"type": "repair"}').alias("answer"))
     samples = E.by_type(E.split_responses(rows, False), second, "tree", "event_id")
     out = E.summary(samples)
-    return out.select(*(F.round(c, 6).alias(c) for c in ("C", "R", "F", "EAR")), "answer_rows", "repair_rows", "repeat_rows", "judge_parse_failures")
+    return out.select(*(F.round(c, 6).alias(c) for c in ("C", "R", "F", "EAR")), "answer_rows", "repair_rows", "repeat_rows", "judge_parse_failures", "unanswered_rows", "unscored_rows")
 
 
 QUERIES = {
@@ -136,9 +136,9 @@ _IDS = lambda s: f"'[' || array_to_string({s}, ', ') || ']'"
 _CLEAN = lambda c: f"trim(trim(trim({c}, e' \\n\\t'), '*\"'), e' \\n\\t')"
 _FORM_SQL = "CASE turn % 4 " + " ".join(f"WHEN {i} THEN " + " || ".join(["'" + a.replace("'", "''") + "'", "text", "'" + b + "'"]) for i, (a, b) in enumerate(f.split("{}") for f in _FORMS)) + " END"
 _REPLY_RE, _HEARD_RE = r"\**\s*repl(?:y|ied)\s*\**\s*:\**", r"(?is)^.*?\**\s*heard\s*\**\s*:\**"
-_EVENTS_SQL = f"""{_JUDGED}, r AS (SELECT kind, event_id, CASE WHEN event_id % 11 = 0 THEN 'bad' WHEN kind = 'repair' AND judged = 'repair' AND event_id % 3 = 1 AND event_id % 2 = 0 THEN 'repair_off' ELSE judged END AS j FROM judged),
-s AS (SELECT kind, event_id, CASE {" ".join(f"WHEN kind = '{k}' AND j = '{t}' THEN {x}" for k, row in S.MATRICES["tree"].items() for t, x in row.items())} END AS score FROM r),
-m AS (SELECT {", ".join(f"coalesce(avg(score) FILTER (kind = '{k}'), 0) AS {n}" for k, n in zip(S.KINDS, "CRF", strict=True))}, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_rows" for k in S.KINDS)}, count(*) FILTER (event_id % 11 = 0) AS judge_parse_failures FROM s)"""
+_EVENTS_SQL = f"""{_JUDGED}, r AS (SELECT kind, event_id, CASE WHEN event_id % 11 = 0 THEN 'bad' WHEN kind = 'repair' AND judged = 'repair' AND event_id % 5 = 0 THEN NULL WHEN kind = 'repair' AND judged = 'repair' AND event_id % 2 = 0 THEN 'repair_off' ELSE judged END AS j FROM judged),
+s AS (SELECT kind, event_id, j, CASE {" ".join(f"WHEN kind = '{k}' AND j = '{t}' THEN {x}" for k, row in S.MATRICES["tree"].items() for t, x in row.items())} END AS score FROM r),
+m AS (SELECT {", ".join(f"coalesce(avg(score) FILTER (kind = '{k}'), 0) AS {n}" for k, n in zip(S.KINDS, "CRF", strict=True))}, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_rows" for k in S.KINDS)}, count(*) FILTER (event_id % 11 = 0) AS judge_parse_failures, count(*) FILTER (j IS NULL) AS unanswered_rows, count(*) FILTER (j IS NOT NULL AND score IS NULL) AS unscored_rows FROM s)"""
 
 SQL = {
     "normalize_text": f"SELECT conv_id, turn, {_NORMAL('text')} AS plain FROM conversations",
@@ -162,5 +162,5 @@ SQL = {
     "heard_reply_split": f"""WITH f AS (SELECT conv_id, turn, {_FORM_SQL} AS t FROM conversations WHERE text IS NOT NULL), s AS (SELECT *, regexp_matches(t, '(?is){_REPLY_RE}') AS two, regexp_extract(t, '(?is)^(.*?){_REPLY_RE}(.*)$', 1) AS a, regexp_extract(t, '(?is)^(.*?){_REPLY_RE}(.*)$', 2) AS b FROM f)
         SELECT conv_id, turn, CASE WHEN two THEN {_CLEAN(f"regexp_replace(a, '{_HEARD_RE}', '')")} ELSE '' END AS heard, CASE WHEN two THEN {_CLEAN('b')} ELSE trim(t, e' \\n\\t') END AS reply FROM s""",
     "json_last_wins": "SELECT (arg_max(props, event_id)->>'$.k')::BIGINT AS k FROM events WHERE json_contains(json_keys(props)::JSON, '\"k\"')",
-    "eval_run": f"WITH {_EVENTS_SQL} SELECT round(C, 6) AS C, round(R, 6) AS R, round(F, 6) AS F, round(CASE WHEN least(C, R, F) = 0 THEN 0 ELSE 3.0 / (1.0 / nullif(C, 0) + 1.0 / nullif(R, 0) + 1.0 / nullif(F, 0)) END, 6) AS EAR, answer_rows, repair_rows, repeat_rows, judge_parse_failures FROM m",
+    "eval_run": f"WITH {_EVENTS_SQL} SELECT round(C, 6) AS C, round(R, 6) AS R, round(F, 6) AS F, round(CASE WHEN least(C, R, F) = 0 THEN 0 ELSE 3.0 / (1.0 / nullif(C, 0) + 1.0 / nullif(R, 0) + 1.0 / nullif(F, 0)) END, 6) AS EAR, answer_rows, repair_rows, repeat_rows, judge_parse_failures, unanswered_rows, unscored_rows FROM m",
 }

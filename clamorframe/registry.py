@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import built, more, queries
+from .plans import built, more, queries, rounds
 
-QUERIES = queries.QUERIES | more.QUERIES | built.QUERIES
-SQL = queries.SQL | more.SQL | built.SQL
+QUERIES = queries.QUERIES | more.QUERIES | built.QUERIES | rounds.QUERIES
+SQL = queries.SQL | more.SQL | built.SQL | rounds.SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -203,9 +203,9 @@ def test_evaluation(spark):
     rows = spark.createDataFrame([(*r, "Heard: a\nReply: b" if r[0] % 2 else "b") for r in data], "id long, kind string, lost array<string>, judged string, response string")
     second = spark.createDataFrame([(1, '{"type": "repair_off"}'), (2, '{"type": "repair"}'), (4, '{"type": "repair_off"}')], "id long, answer string")
     samples = E.by_type(E.split_responses(rows, True), second, "tree")
-    assert {r["id"]: (r["judged_type"], r["score"], r["heard"]) for r in samples.collect()} == {1: ("repair_off", 0.0, "a"), 2: ("repair", 1.0, ""), 3: ("repair", 1.0, "a"), 4: ("repair", 0.0, ""), 5: ("bad", 0.0, "a"), 6: ("repair", 1.0, "")}
+    assert {r["id"]: (r["judged_type"], r["score"], r["heard"]) for r in samples.collect()} == {1: ("repair_off", 0.0, "a"), 2: ("repair", 1.0, ""), 3: ("repair", 1.0, "a"), 4: ("repair", 0.0, ""), 5: ("bad", 0.0, "a"), 6: (None, None, "")}
     got = E.summary(samples, ["answer", "repair"]).first()
-    assert (got["C"], got["R"], got["F"], got["EAR"], got["heard_parse_failures"], got["judge_parse_failures"]) == (0.0, 0.75, None, 0.0, 3, 1)
-    assert one(spark, E.shown_row(F.lit("c"), F.lit("r"), F.lit("repair"), strings("x"), True)).endswith('LOST PIECE: "x"') and one(spark, E.rubric(F.lit("answer"), True)) == "judge-answer"
+    assert (got["C"], got["R"], got["F"], got["EAR"], got["heard_parse_failures"], got["judge_parse_failures"]) == (0.0, pytest.approx(2 / 3), None, 0.0, 3, 1)
+    assert one(spark, E.shown_row(F.lit("c"), F.lit("r"), F.lit("repair"), strings("x"), True)) == 'COMMAND: c\nLOST PIECE: "x"\nREPLY: r\n' and one(spark, E.rubric(F.lit("answer"), True)) == "judge-answer"
     scored = E.by_kind(rows.withColumn("judged", F.lit('{"score": 0.5}'))).first()
     assert scored["score"] == 0.5 and scored["judged_type"] is None
