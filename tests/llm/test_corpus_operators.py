@@ -388,6 +388,24 @@ def test_quality_limits_follow_the_source(spark):
     assert (got["kept"] == (got["n_symbols"] == 0))[got["source"] == "b"].all()
 
 
+@pytest.mark.parametrize("at", [4, 6])
+def test_quality_rates_follow_the_source(spark, at):
+    """Verses repeat words and lines as a rule, reports now and then: as many of them are usual in one source and odd in the other."""
+    rng = np.random.default_rng(9)
+
+    def row(source, n):
+        counts = [source, 0, 1500, 0, 300, 0, 40, 0, False]
+        counts[at - 1] = n
+        return ("en", *counts)
+
+    verses = [row("verse", int(rng.integers(60, 110)) if at == 4 else int(rng.integers(12, 20))) for _ in range(600)]
+    reports = [row("report", int(rng.integers(1, 4)) * 6 if at == 4 else 1) if i % 20 == 0 else row("report", 0) for i in range(600)]
+    many = 100 if at == 4 else 18
+    got = judged(spark, [*verses, *reports, row("report", many), row("report", many + 1)])
+    odd = (got["source"] == "report") & (got[["n_repeat_words", "n_dup_lines"]].max(axis=1) >= many)
+    assert odd.sum() == 2 and not got.loc[odd, "kept"].any() and got.loc[~odd, "kept"].all()
+
+
 def test_quality_thresholds_act_on_planted_junk(spark):
     """Junk is a fifteenth of each source; a few symbols, repeats and equal lines as they occur by chance are no junk."""
     rng = np.random.default_rng(8)
