@@ -23,7 +23,7 @@ from . import common, words
 
 STATES, HEAD, CLASSES, KNOWN = 8, 1 << 15, 1 << 11, 1 << 17
 #: Baum-Welch rounds at most, each over all training texts; they end once a round adds less than GAIN to a symbol's log10 likelihood.
-ROUNDS, GAIN = 14, 1e-2
+ROUNDS, GAIN = 14, 2e-3
 #: Tokens that one recursion holds, and tokens whose hashes are counted together.
 TOKENS, COUNT_TOKENS = 500_000, 4_000_000
 END = np.uint64(1)
@@ -154,6 +154,10 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
+    def single(self) -> Model:
+        """In single precision, half the memory to go through."""
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
 
 @dataclass
 class Expected:
@@ -194,7 +198,7 @@ class Texts:
     def _run(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Emissions, scaled states and scales of each token."""
         emit = m.emit[self.flat]
-        states, scales = np.empty_like(emit), np.empty((len(emit), 1))
+        states, scales = np.empty_like(emit), np.empty((len(emit), 1), emit.dtype)
         edges = self.step.tolist()
         n = edges[1]
         a = np.multiply(emit[:n], m.start, out=states[:n])
@@ -212,8 +216,9 @@ class Texts:
         return np.bincount(self.text, np.log10(self._run(m)[2][:, 0]), minlength=len(self.length))
 
     def expect(self, m: Model) -> Expected:
+        """Expected counts; the recursions, which are scaled at each token, in the model's precision, sums of texts' counts in double."""
         w, states, scales = self._run(m)
-        score = float(np.log10(scales).sum())
+        score = float(np.log10(scales, dtype=np.float64).sum())
         w /= scales
         k = len(m.start)
         b = np.ones_like(w)
@@ -251,7 +256,7 @@ def _symbols(column: pa.Array) -> list[np.ndarray]:
 
 
 def sum_expected(symbols: list[np.ndarray], m: Model) -> Expected:
-    out = Expected(np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit))
+    out = Expected(*(np.zeros(x.shape) for x in (m.start, m.move, m.emit)))
     for group in grouped(symbols):
         out.add(Texts([symbols[i] for i in group]).expect(m))
     return out
@@ -263,6 +268,7 @@ def _expecter(model, states: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         total = Expected(np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit))
+        m = m.single()
         for batch in batches:
             if batch.num_rows:
                 total.add(sum_expected(_symbols(batch.column(0)), m))
