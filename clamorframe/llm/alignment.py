@@ -282,7 +282,7 @@ def composed(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame
     """doc_id, _row, n_a, n_b, n_groups, n_links, groups_sha256, and each linked pair (a in the upper, b in the lower half of a long) with how often it is linked."""
     spark, paths = docs.sparkSession, paths or default_paths()
     doc = common.with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_row", "text")
-    both = common.cut(doc.mapInArrow(_cutter(tokenizers(paths).apart()), "block long, code long, piece string, doc_id long, _row long, codes binary"), "blocks")
+    both = common.cut(doc.mapInArrow(_cutter(tokenizers(paths).apart()), "block long, code long, piece string, doc_id long, _row long, codes binary"), "blocks", "zstd")
     pieces = both.where("piece is not null").select("block", "code", "piece")
     once = "spark.sql.requireAllClusterKeysForCoPartition"
     was = spark.conf.get(once)
@@ -292,12 +292,12 @@ def composed(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame
     finally:
         spark.conf.set(once, was)
     common.release_shuffles(spark)
-    entries = common.cut(pieces.join(links.hint("merge"), "piece").select("block", "code", "links"), "entries")
+    entries = common.cut(pieces.join(links.hint("merge"), "piece").select("block", "code", "links"), "entries", "zstd")
     common.drop_cut(links)
     common.release_shuffles(spark)
     left = both.where("codes is not null").select("block", "doc_id", "_row", "codes").groupBy("block")
     kinds = "doc_id long, _row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
-    out = common.cut(left.cogroup(entries.groupBy("block")).applyInArrow(_compose, kinds), "composed")
+    out = common.cut(left.cogroup(entries.groupBy("block")).applyInArrow(_compose, kinds), "composed", "zstd")
     common.drop_cut(both)
     common.drop_cut(entries)
     common.release_shuffles(spark)

@@ -36,11 +36,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", codec: str = "snappy") -> DataFrame:
     """Writes ``df`` to a table in the shared folder and returns the table: lineage ends there."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _own_tables.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._clamorframe_path = path
