@@ -132,15 +132,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     marks = anchors.join(again, "h").groupBy("_row").agg(F.collect_list("at").alias("marks"))  # a document's own anchors
     marks = common.cut(marks.join(state.where("not _copy").select("_row"), "_row"), "marks")
     common.release_shuffles(docs.sparkSession)
-    marked = common.cut(doc.select("_id", "_row", "text").join(marks, "_row").select("_id", "_row", "text", "marks"), "marked")
+    marked = common.cut(doc.select("_id", "_row", "text").join(marks, "_row").select("_id", "_row", "text", "marks"), "marked", "zstd")
+    common.drop_cut(again)
+    common.drop_cut(marks)
     common.release_shuffles(docs.sparkSession)
-    windows = common.cut(marked.mapInArrow(_windows, "h long, g long, _id long, _row long, at int"), "windows")
+    windows = marked.mapInArrow(_windows, "h long, g long, _id long, _row long, at int")  # read twice, hashed twice: a table of them would be the largest of all
     owner = windows.groupBy("h", "g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
     owner = common.cut(owner, "owner")
     common.release_shuffles(docs.sparkSession)
     hits = windows.join(owner, ["h", "g"]).where("_first < _id").groupBy("_row").agg(F.collect_list("at").alias("hits"))
     hits = common.cut(hits, "hits")
-    common.drop_cut(windows)
+    common.drop_cut(owner)
     common.release_shuffles(docs.sparkSession)
     cleaned = marked.select("_row", "text").join(hits, "_row").select("_row", "text", "hits").mapInArrow(_removed, "_row long, n_removed long, kept_text string")
     out = state.join(cleaned, "_row", "left")
