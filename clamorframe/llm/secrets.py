@@ -59,10 +59,12 @@ def joined(spans: list[Span]) -> str:
 # --- features -------------------------------------------------------------------------------------------
 
 #: Bits for a word's own shape, for the word before, the one before that, the word behind, a value that is named, and the file.
-OWN, BEFORE, EARLIER, BEHIND, NAMED, FILE = 24, 5, 2, 2, 2, 2
+OWN, BEFORE, EARLIER, BEHIND, NAMED, FILE = 30, 5, 2, 2, 4, 2
 #: Parts of words that name a secret, and words that lead from the name to it.
-CUES = (b"pass", b"pwd", b"secret", b"token", b"key", b"cred", b"auth", b"bearer")
-LINKS = (b"is", b"was", b"=", b":", b"=>", b"->", b":=", b"to", b"are")
+CUES = (b"pass", b"pwd", b"secret", b"token", b"key", b"cred", b"auth", b"bearer", b"kennwort", b"geheim", b"zugang", b"contrase", b"clave", b"secreto", b"jeton", "schlüssel".encode(), "clé".encode())
+LINKS = (b"is", b"was", b"=", b":", b"=>", b"->", b":=", b"to", b"are", b"ist", b"lautet", b"est", b"es", b"son", b"equals")
+#: A name and a password before a host.
+LOGIN = re.compile(rb"://[^:/@]*:([^/@]+)@")
 
 
 def _class_table(chars: bytes) -> np.ndarray:
@@ -132,39 +134,47 @@ def code(data: np.ndarray, offsets: np.ndarray) -> Coded:
         z = np.zeros(0, np.int64)
         return Coded(z, z, np.zeros(n_texts, np.int64), z, z, first, z, z)
     low, high = _values(data, starts, ends)
+    folded = words.LOWER[data]
+    login = np.zeros(len(starts), bool)
+    for i in np.flatnonzero(_holding(folded, starts, ends, (b"://",))).tolist():
+        if m := LOGIN.search(data[starts[i] : ends[i]].tobytes()):
+            login[i], low[i], high[i] = True, starts[i] + m.start(1), starts[i] + m.end(1)
     size = high - low
-    cap = np.minimum(high, low + 512)  # a value's shape shows in its first characters; its length counts whole
 
     def count(table: np.ndarray) -> np.ndarray:
         upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(table[data], dtype=np.int32)])
-        return upto[cap] - upto[low]
+        return upto[high] - upto[low]
 
     def turns(changes: np.ndarray) -> np.ndarray:
         upto = np.concatenate([np.zeros(2, np.int32), np.cumsum(changes, dtype=np.int32)])
-        return upto[cap] - upto[np.minimum(low + 1, cap)]
+        return upto[high] - upto[np.minimum(low + 1, high)]
 
     digit, upper, lower, hexa, link, slash, dot, at, vowel, number = map(count, (_DIGIT, _UPPER, _LOWER, _HEXA, _LINK, _SLASH, _DOT, _AT, _VOWEL, _NUMBER))
-    seen = cap - low
+    seen = size
     letter = upper + lower
     is_digit, is_upper, is_lower = _DIGIT[data] > 0, _UPPER[data] > 0, _LOWER[data] > 0
     mixes = turns(is_digit[1:] != is_digit[:-1])
     humps = turns(is_lower[:-1] & is_upper[1:])
-    folded = words.LOWER[data]
     cue = _holding(folded, starts, ends, CUES)
+    slashes = np.concatenate([np.zeros(1, np.int32), np.cumsum(_SLASH[data], dtype=np.int32)])
+    in_path = ((slashes[low] - slashes[starts] > 0) | (slash > 0) & (dot > 0)) & ~login
+    tail = lambda k: data[np.maximum(high - k, 0)]
+    year = (size > 4) & is_digit[np.maximum(high - 1, 0)] & is_digit[np.maximum(high - 2, 0)] & ((tail(4) == 0x31) & (tail(3) == 0x39) | (tail(4) == 0x32) & (tail(3) == 0x30))
     prefixed = low > starts
     plain = digit + letter + link + slash + dot + at
     bits = [
         digit > 0, upper > 1, (upper > 0) & (lower > 0) & (digit > 0), plain + 2 < seen, size >= 6, size >= 8, size >= 12, size >= 16,
         size >= 20, size >= 32, prefixed, prefixed & cue, (digit > 0) & (letter > 0), mixes >= 2, mixes >= 4, (hexa == seen) & (size >= 16),
         (number == seen) & (seen > 0), at > 0, slash > 1, link > 0, dot >= 2, (letter >= 6) & (vowel * 6 < letter), humps >= 2, digit * 5 >= seen,
+        login, in_path, year, (link == 4) & (size == 36) & (hexa + link == seen), (link >= 2) & (letter > 0) & (letter + digit + link == seen), (digit == seen) & (size >= 5) & (size <= 12),
     ]
     own = sum(b.astype(np.int64) << i for i, b in enumerate(bits))
     length = ends - starts
-    short = np.flatnonzero(length <= 3)
+    short = np.flatnonzero(length <= 7)
     leads = np.zeros(len(starts), bool)
     keys = {int.from_bytes(x, "big") for x in LINKS}
     packed = np.zeros(len(short), np.int64)
-    for i in range(3):
+    for i in range(7):
         has = length[short] > i
         packed[has] = packed[has] * 256 + folded[starts[short[has]] + i]
     leads[short] = np.isin(packed, list(keys))
@@ -198,9 +208,10 @@ def parts(x: Coded) -> list[tuple[np.ndarray, int]]:
     behind = (behind & 1) | ((behind >> 3) & 2)  # names a secret, is long
     before, earlier = shifted(x, -1), shifted(x, -2)
     named = (before & 1) | ((before >> 1 | before >> 2) & earlier & 1)  # a name just before, or one that leads here
-    mixed = (x.own >> 12) & 1
+    mixed, phrase, number = (x.own >> 12) & 1, (x.own >> 28) & 1, (x.own >> 29) & 1
     file = np.repeat(x.file, np.diff(x.first))
-    return [(x.own & 4095, 12), (x.own >> 12, OWN - 12), (before, BEFORE), (earlier & 3, EARLIER), (behind, BEHIND), (named & mixed | (named & ~mixed) << 1, NAMED), (file, FILE)]
+    conjoined = named & mixed | (named & ~mixed) << 1 | (named & phrase) << 2 | (named & number) << 3
+    return [(x.own & 4095, 12), (x.own >> 12 & 4095, 12), (x.own >> 24, OWN - 24), (before, BEFORE), (earlier & 3, EARLIER), (behind, BEHIND), (conjoined, NAMED), (file, FILE)]
 
 
 # --- the field ------------------------------------------------------------------------------------------
@@ -322,9 +333,11 @@ SEED = 11
 #: A passage: its words, and whether each begins a secret (1), goes on with it (2) or is outside (0).
 Passage = tuple[list[str], list[int]]
 
-NAMES = ("password", "Password", "passwd", "pwd", "pass", "passphrase", "secret", "SECRET_KEY", "client_secret", "token", "access_token", "AUTH_TOKEN", "api_key", "apikey", "API_KEY", "auth_key", "AUTH_KEY", "private_key", "access_key", "credentials", "DB_PASSWORD", "db_pwd", "Bearer", "key")
+NAMES = ("password", "Password", "passwd", "pwd", "pass", "passphrase", "secret", "SECRET_KEY", "client_secret", "token", "access_token", "AUTH_TOKEN", "api_key", "apikey", "API_KEY", "auth_key", "AUTH_KEY", "private_key", "access_key", "credentials", "DB_PASSWORD", "db_pwd", "Bearer", "key", "Passwort", "Kennwort", "mot de passe", "contraseña", "clave", "passcode", "Zugangscode")
 #: How a name leads to its value; a space parts words.
-LEADS = ("{n}={v}", "{n}:{v}", "{n}: {v}", "{n} = {v}", '{n} = "{v}"', "{n}='{v}'", '"{n}": "{v}",', "{n} {v}", "{n} is {v}", "{n} was {v}.", "{n} => {v}", "{v}", "{v}", "({v})", '"{v}"')
+LEADS = ("{n}={v}", "{n}:{v}", "{n}: {v}", "{n} = {v}", '{n} = "{v}"', "{n}='{v}'", '"{n}": "{v}",', "{n} {v}", "{n} is {v}", "{n} was {v}.", "{n} => {v}", "{n} ist {v}", "{n} est {v}", "{n} es {v}", "{n} lautet {v}.", "{v}", "{v}", "({v})", '"{v}"')
+#: Addresses that tell a password.
+LOGINS = ("https://{u}:{v}@{h}/", "ftp://{u}:{v}@{h}", "redis://:{v}@{h}:6379", "mysql://{u}:{v}@{h}/{u}", "DSN={u}://{u}:{v}@{h}/{u}")
 
 
 def _draw(rng: random.Random, letters: str, low: int, high: int) -> str:
@@ -334,7 +347,7 @@ def _draw(rng: random.Random, letters: str, low: int, high: int) -> str:
 def drawn_secret(rng: random.Random, least: int = 0) -> tuple[str, bool]:
     """A value, and whether it needs a name beside it to be told from a usual word, as those from 5 on."""
     sign = string.ascii_letters + string.digits
-    kind = rng.randrange(least, 7)
+    kind = rng.randrange(least, 9)
     if kind == 0:
         return _draw(rng, "0123456789abcdef", 16, 64), False
     if kind == 1:
@@ -347,14 +360,26 @@ def drawn_secret(rng: random.Random, least: int = 0) -> tuple[str, bool]:
         return "ey" + ".".join(_draw(rng, sign + "_-", k, 3 * k) for k in (14, 20, 24)), False
     if kind == 5:  # a word and digits
         return _draw(rng, string.ascii_lowercase, 3, 8).capitalize()[rng.randrange(2) :] + _draw(rng, string.digits, 1, 4) + rng.choice(("", "", "!", "#x", "$A")), True
+    if kind == 6:  # words with a sign between them
+        return rng.choice("-_").join(_draw(rng, string.ascii_lowercase, 3, 8) for _ in range(rng.randint(3, 5))) + rng.choice(("", _draw(rng, string.digits, 1, 3))), True
+    if kind == 7:
+        return _draw(rng, string.digits, 6, 9), True
     return _draw(rng, sign + "!@#$%^&*", 8, 16) + rng.choice(string.digits), True
 
 
+def drawn_login(rng: random.Random) -> tuple[str, str]:
+    """An address with a name and a password, and the password."""
+    value = _draw(rng, string.ascii_letters + string.digits + "!$%-_", 8, 20)
+    word = lambda: _draw(rng, string.ascii_lowercase, 3, 8)
+    return rng.choice(LOGINS).format(u=word(), v=value, h=f"{word()}.{word()}.com"), value
+
+
 def drawn_harmless(rng: random.Random) -> str:
     """What looks a little like a secret and is none: numbers, addresses, dates, names of files and things."""
     low, d = string.ascii_lowercase, string.digits
     word = lambda: _draw(rng, low, 3, 9)
-    return (
+    uuid = lambda: "-".join(_draw(rng, "0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12))
+    forms = (
         lambda: f"{word()}.{_draw(rng, d, 1, 2)}@{word()}{_draw(rng, d, 0, 1)}.example.com",
         lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
         lambda: _draw(rng, d, 16, 16),
@@ -375,7 +400,22 @@ def drawn_harmless(rng: random.Random) -> str:
         lambda: f"the {rng.choice(NAMES).lower()} is {word()}",
         lambda: f"{word()}={word()}",
         lambda: f"{word()}: {word()}",
-    )[rng.randrange(20)]()
+        lambda: f"{word()} {uuid()} {word()}",
+        lambda: f"{word()}={uuid()}",
+        lambda: f"https://www.{word()}.com/{word()}?{rng.choice('abcpqv')}={_draw(rng, string.ascii_letters + d + '-_', 8, 14)}",
+        lambda: f"{word()}.com/{_draw(rng, string.ascii_letters + d, 8, 14)}",
+        lambda: f"{rng.choice(NAMES)} {word()} {word().capitalize()}{rng.randrange(1950, 2040)}",
+        lambda: f"{rng.choice(NAMES)} {word()} {_draw(rng, d, 1, 4)} {word()}",
+        lambda: f"{rng.choice(NAMES)} {word()} {word()} {word()}-{word()}-{word()}",
+        lambda: f"{rng.choice(NAMES)}: {word()} {word()} {_draw(rng, d, 5, 8)}",
+        lambda: f"{word()} {rng.choice(LINKS).decode()} {_draw(rng, d, 4, 10)}",
+        lambda: f"{word()} {rng.choice(LINKS).decode()} {word().capitalize()}{_draw(rng, d, 1, 4)}",
+        lambda: f"{_draw(rng, d, 3, 3)}-{_draw(rng, d, 1, 1)}-{_draw(rng, d, 2, 4)}-{_draw(rng, d, 5, 6)}-{_draw(rng, d, 1, 1)}",
+        lambda: f"{_draw(rng, '0123456789abcdef', 7, 10)}",
+        lambda: f"{_draw(rng, string.ascii_uppercase, 2, 3)}-{rng.randrange(1990, 2040)}-{_draw(rng, d, 3, 6)}",
+        lambda: f"{word().capitalize()}{rng.randrange(1950, 2040)}",
+    )
+    return forms[rng.randrange(len(forms))]()
 
 
 def _put(passage: Passage, at: int, text: str, value: str | None) -> Passage:
@@ -415,7 +455,12 @@ def variants(passages: list[tuple[bool, Passage]], rng: random.Random) -> Iterat
         yield _put(passage, rng.randrange(len(text) + 1), _named(rng, value, needs_name), value)
         value = drawn_secret(rng, least=5)[0]
         yield _put(passage, rng.randrange(len(text) + 1), rng.choice(NAMES) + rng.choice((" ", " is ", ": ")) + value, value)
+        if rng.random() < 0.3:
+            address, value = drawn_login(rng)
+            yield _put(passage, rng.randrange(len(text) + 1), address, value)
         more = _put(passage, rng.randrange(len(text) + 1), drawn_harmless(rng), None)
+        for _ in range(2):
+            more = _put(more, rng.randrange(len(more[0]) + 1), drawn_harmless(rng), None)
         yield _put(more, rng.randrange(len(more[0]) + 1), drawn_harmless(rng), None)
         if rng.random() < 0.1:
             at, block = rng.randrange(len(text) + 1), key_block(rng).split(" ")
@@ -489,16 +534,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
 
 #: Characters that a value of the field's own has at least.
 LEAST = 6
+#: Marks that belong to a value which they end.
+ENDING = b"!#$%&*="
 
 
-def _field_spans(x: Coded, tags: dict[int, int], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Bytes of a text's tagged values that no pattern span touches; ``tags`` are its own, in order of words, ``taken`` is sorted."""
+def _field_spans(x: Coded, data: np.ndarray, tags: dict[int, int], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Bytes of a text's tagged values that no pattern span touches; ``tags`` are its own, in order of words, ``taken`` is sorted. Marks that end a password are part of it."""
     out, last = [], -2
     for i, tag in tags.items():
+        high = int(x.high[i])
+        while high < x.ends[i] and data[high] in ENDING:
+            high += 1
         if tag == 2 and last == i - 1 and out:
-            out[-1] = (out[-1][0], int(x.high[i]))
+            out[-1] = (out[-1][0], high)
         else:
-            out.append((int(x.low[i]), int(x.high[i])))
+            out.append((int(x.low[i]), high))
         last = i
     starts = np.array([p for p, _ in taken], np.int64)
     far = np.maximum.accumulate(np.array([q for _, q in taken], np.int64)) if taken else starts
@@ -531,7 +581,7 @@ def scanner(field):
                     byte = np.append(np.flatnonzero(begins), len(begins))
                     taken = [(zero + int(byte[a]), zero + int(byte[b])) for _, a, b in found]
                     point = lambda b: int(np.searchsorted(byte, b - zero))  # noqa: B023, E731
-                    found = sorted(found + [("field", point(a), point(b)) for a, b in _field_spans(x, tagged[d], taken)], key=lambda s: (s[1], (*KINDS, "field").index(s[0])))
+                    found = sorted(found + [("field", point(a), point(b)) for a, b in _field_spans(x, data, tagged[d], taken)], key=lambda s: (s[1], (*KINDS, "field").index(s[0])))
                 digest[d], spans[d] = hashlib.sha256(base.encode()).hexdigest(), joined(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts), pa.array(digest), pa.array(spans)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
