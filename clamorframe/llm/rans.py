@@ -3,7 +3,8 @@
 A file table holds blocks; a block holds the ids of whole documents, in order of doc_id. Ids are dealt to
 LANES interleaved coders that share one static frequency table (written beside the blocks), so a block is
 coded a row of lanes at a time. Checkpoints in a block hold all lanes' states and the place in the stream
-every ``ROWS`` rows: parts of a block decode independently. A checksum guards a block's payload.
+every ``ROWS`` rows: reading cuts a block at its checkpoints into parts that tasks decode independently, and
+puts a document's checksum together from those of its parts. A checksum guards a block's payload and its table of documents.
 
 Payload, little-endian: magic, lanes (u32), number of ids (u64), words (u64), checkpoints (u32), then for each
 checkpoint its row and word (u64 each) and the lanes' states (u64 each), then the 32-bit words of the stream.
@@ -135,7 +136,8 @@ def block_writer(tokenizer: str, end_id: int, table):
 
         def block() -> pa.RecordBatch:
             payload = coder.encode(np.concatenate(held))
-            arrays = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int32())), pa.array([zlib.crc32(payload)], pa.int64()), pa.array([payload], pa.binary())]
+            lengths = [len(x) for x in held]
+            arrays = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([checksum(payload, docs, lengths)], pa.int64()), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "block", "n_ids", "doc_ids", "lengths", "checksum", "payload"])
 
         end = np.array([end_id], np.uint32)
@@ -154,28 +156,108 @@ def block_writer(tokenizer: str, end_id: int, table):
     return run
 
 
-def block_reader(table):
-    """Blocks to one row for each document: its place in the block and the crc32 of its ids, after decoding."""
+def checksum(payload: bytes, docs: list[int | None], lengths: list[int]) -> int:
+    """The crc32 of a block: its payload, then each document's id (and whether there is one) and number of ids."""
+    table = b"".join(struct.pack("<?qi", d is not None, d or 0, n) for d, n in zip(docs, lengths, strict=True))
+    return zlib.crc32(table, zlib.crc32(payload))
+
+
+def cut_at_checkpoints(payload: bytes) -> list[tuple[int, bytes]]:
+    """(first id, payload) of each part of a block; a part is a payload of one checkpoint."""
+    magic, lanes, n, n_words, n_marks = HEAD.unpack_from(payload)
+    if magic != MAGIC:
+        raise ValueError("not a block")
+    step = 16 + 8 * lanes
+    marks = [struct.unpack_from("<QQ", payload, HEAD.size + m * step) for m in range(n_marks)] + [(-(-n // lanes), n_words)]
+    stream = HEAD.size + n_marks * step
+    out = []
+    for m, ((row, at), (behind, end)) in enumerate(zip(marks[:-1], marks[1:], strict=True)):
+        state = payload[HEAD.size + m * step + 16 : HEAD.size + (m + 1) * step]
+        own = min(n, behind * lanes) - row * lanes
+        out.append((row * lanes, HEAD.pack(MAGIC, lanes, own, end - at, 1) + struct.pack("<QQ", 0, 0) + state + payload[stream + 4 * at : stream + 4 * end]))
+    return out
+
+
+def part_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to their parts: where each begins in its block, and the documents that have ids in it, by number, with how many."""
+    for batch in batches:
+        for b in batch.to_pylist():
+            if checksum(b["payload"], b["doc_ids"], b["lengths"]) != b["checksum"]:
+                raise ValueError(f"block {b['part']}/{b['block']} is damaged")
+            length = np.array(b["lengths"], np.int64)
+            end = np.cumsum(length)
+            parts = cut_at_checkpoints(b["payload"])
+            edges = [first for first, _ in parts] + [int(end[-1])]
+            firsts, lasts = np.searchsorted(end, edges[:-1], side="right"), np.searchsorted(end, edges[1:], side="left")
+            docs = [np.arange(x, y + 1) for x, y in zip(firsts, lasts, strict=True)]
+            counts = [np.minimum(end[d], y) - np.maximum(end[d] - length[d], x) for d, x, y in zip(docs, edges[:-1], edges[1:], strict=True)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b["part"]] * n, pa.int32()), pa.array([b["block"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([x for _, x in parts], pa.binary()),
+                    pa.array(docs, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64())), pa.array([[b["doc_ids"][i] for i in d] for d in docs], pa.list_(pa.int64())), pa.array([(end - length)[d] for d in docs], pa.list_(pa.int64())),
+                ],
+                names=["part", "block", "mark", "payload", "docs", "counts", "doc_ids", "starts"],
+            )
+
+
+def part_reader(table):
+    """Parts to a row for each document in them: how many of its ids are there, and their crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(table.value)
         for batch in batches:
             for b in batch.to_pylist():
-                if zlib.crc32(b["payload"]) != b["checksum"]:
-                    raise ValueError(f"block {b['part']}/{b['block']} is damaged")
                 ids = coder.decode(b["payload"]).astype("<u4")
-                length = np.array(b["lengths"], np.int64)
-                start = np.cumsum(length) - length
-                crc = [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip(start.tolist(), length.tolist(), strict=True)]
-                n = len(length)
+                count = np.array(b["counts"], np.int64)
+                at = np.cumsum(count) - count
+                crc = [zlib.crc32(ids[x : x + k].tobytes()) for x, k in zip(at.tolist(), count.tolist(), strict=True)]
+                n = len(count)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, b["part"], np.int32)), pa.array(np.full(n, b["block"], np.int32)), pa.array(b["doc_ids"], pa.int64()), pa.array(start), pa.array(length), pa.array(np.array(crc, np.int64))],
-                    names=["part", "block", "doc_id", "_start", "n_tokens", "ids_crc32"],
+                    [pa.array([b[c]] * n, pa.int32()) for c in ("part", "block")] + [pa.array(b["docs"], pa.int64()), pa.array(b["doc_ids"], pa.int64()), pa.array(b["starts"], pa.int64()), pa.array([b["mark"]] * n, pa.int32()), pa.array(count), pa.array(crc, pa.int64())],
+                    names=["part", "block", "doc", "doc_id", "_start", "mark", "n", "crc"],
                 )
 
     return run
 
 
+def _times(matrix: list[int], vector: int) -> int:
+    out = 0
+    for column in matrix:
+        if not vector:
+            break
+        if vector & 1:
+            out ^= column
+        vector >>= 1
+    return out
+
+
+def joined_crc(parts: list[tuple[int, int]]) -> int:
+    """The crc32 of what (crc32, bytes) are the parts of, one behind the other.
+
+    Reading a zero bit is a linear map of the 32 bits, and that of many zeros its powers: a crc moves on over as many zeros
+    as the next part has bits, and the next part's own crc is added.
+    """
+    total, _ = parts[0]
+    for crc, size in parts[1:]:
+        matrix = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
+        bits = 8 * size
+        while bits:
+            if bits & 1:
+                total = _times(matrix, total)
+            matrix = [_times(matrix, column) for column in matrix]
+            bits >>= 1
+        total ^= crc
+    return total
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., pieces): the crc32 of each document from those of its pieces, in order."""
+    for batch in batches:
+        crc = [p[0]["crc"] if len(p) == 1 else joined_crc([(x["crc"], 4 * x["n"]) for x in p]) for p in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "_start", "n_tokens", "ids_crc32"])
+
+
 def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """Writes (blocks, frequency table) for all texts in order of doc_id, null first; a null text is the end id alone."""
     spark, path = docs.sparkSession, tokenizer or tokens.default_path()
@@ -198,18 +280,27 @@ def read_table(freqs: DataFrame) -> np.ndarray:
 
 
 def read(blocks: DataFrame, freqs: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the blocks."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the blocks, each checkpoint's part by itself."""
     table = blocks.sparkSession.sparkContext.broadcast(read_table(freqs))
-    docs = blocks.select("part", "block", "doc_ids", "lengths", "checksum", "payload").mapInArrow(block_reader(table), "part int, block int, doc_id long, _start long, n_tokens long, ids_crc32 long")
+    parts = blocks.select("part", "block", "doc_ids", "lengths", "checksum", "payload").mapInArrow(part_maker, "part int, block int, mark int, payload binary, docs array<long>, counts array<long>, doc_ids array<long>, starts array<long>")
+    # parts of one block go to several tasks
+    pieces = parts.repartition("part", "block", "mark").mapInArrow(part_reader(table), "part int, block int, doc long, doc_id long, _start long, mark int, n long, crc long")
+    whole = pieces.groupBy("part", "block", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("_start").alias("_start"), F.sort_array(F.collect_list(F.struct("mark", "n", "crc"))).alias("pieces"), F.sum("n").alias("n_tokens"))
+    docs = whole.select("part", "block", "doc_id", "_start", "pieces", "n_tokens").mapInArrow(_whole, "part int, block int, doc_id long, _start long, n_tokens long, ids_crc32 long")
     sizes = blocks.select("part", "block", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a task of the sort
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    tasks = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a task of the sort
+    tasks = tasks.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inner = Window.partitionBy("part").orderBy("block")
-    starts = sizes.select("part", "block", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("within")).join(parts, "part")
+    starts = sizes.select("part", "block", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("within")).join(tasks, "part")
     starts = common.cut(starts.select("part", "block", (F.col("before") + F.col("within")).alias("_before")), "starts")
     return docs.join(starts, ["part", "block"]).select("doc_id", (F.col("_before") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated rows are written one after the other; an empty table writes no block and gives an empty result."""
+    """All texts coded, written and read again.
+
+    A null or empty text is its end id alone. A null doc_id comes first; equal doc_ids and repeated rows are written one
+    after the other. A long text goes on over checkpoints within one block and is read in parts. An empty table writes no
+    block and gives an empty result; columns other than doc_id and text are not read.
+    """
     return read(*write(common.documents(spark, sf_dir)))
