@@ -40,15 +40,24 @@ def decide_by_ids(pieces: Column, sides: Column) -> Column:
     return F.struct(kind.alias("kind"), F.transform(agreed, lambda i: F.element_at(pieces, i)).alias("lost"))
 
 
+def agreed_texts(asr: Column, reply: Column) -> Column:
+    """Pieces of the first witness that share a content word with what the second lost."""
+    said = F.flatten(F.transform(reply, lambda p: content(p)))
+    return F.filter(asr, lambda p: F.arrays_overlap(content(p), said))
+
+
+def both_wrecked(command: Column, asr: Column, reply: Column) -> Column:
+    """Whether either witness lost too much of the command by itself."""
+    much = lambda side: share_lost(F.concat_ws(" ", side), command) >= LOST_SHARE
+    return much(asr) & much(reply)
+
+
 def decide_by_text(command: Column, asr: Column, reply: Column) -> Column:
     """(kind, missing) from two lists of lost pieces in free text; see the tests for each branch."""
-    said = F.flatten(F.transform(reply, lambda p: content(p)))
-    agreed = F.filter(asr, lambda p: F.arrays_overlap(content(p), said))
-    joined = lambda a: F.concat_ws(" ", a)
-    wrecked = (share_lost(joined(asr), command) >= LOST_SHARE) & (share_lost(joined(reply), command) >= LOST_SHARE)
-    much = share_lost(joined(agreed), command) >= LOST_SHARE
+    agreed = agreed_texts(asr, reply)
+    much = share_lost(F.concat_ws(" ", agreed), command) >= LOST_SHARE
     n = F.size(agreed)
-    kind = F.when(wrecked | ((n == 1) & much), "repeat").otherwise(by_number(n))
+    kind = F.when(both_wrecked(command, asr, reply) | ((n == 1) & much), "repeat").otherwise(by_number(n))
     nothing = F.array().cast("array<string>")
     missing = F.when(kind == "repeat", F.array_distinct(F.concat(asr, reply))).when(kind == "repair", agreed).otherwise(nothing)
     return F.struct(kind.alias("kind"), missing.alias("missing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .decide import LOST_SHARE, agreed_ids, decide_by_ids, decide_by_text, share_lost, valid_ids
+from .decide import LOST_SHARE, agreed_ids, agreed_texts, both_wrecked, decide_by_ids, decide_by_text, share_lost, valid_ids
 from .judge import is_object, strings
 from .text import PIECE_STOPWORDS, WAKE_WORDS, keep_pieces, normalize, tokens, word_list
 
@@ -102,12 +102,38 @@ def first_target(targets: Column, kind: Column, lost: Column) -> Column:
     return F.coalesce(F.trim(F.get(good, F.lit(0))), F.lit(""))
 
 
+def leaked_attempts(targets: Column, kind: Column, lost: Column) -> Column:
+    """How many attempts were turned away for leaking before ``first_target`` took one, or all gave out."""
+    tried = F.slice(targets, 1, TARGET_ATTEMPTS)
+    leak = lambda t: (kind == "repair") & ~blank(t) & F.coalesce(target_leaks(t, lost), F.lit(False))
+    state = F.struct(F.lit(False).alias("over"), F.lit(0).alias("n"))
+    step = lambda s, t: F.when(s["over"], s).otherwise(F.struct((~blank(t) & ~leak(t)).alias("over"), (s["n"] + leak(t).cast("int")).alias("n")))
+    return F.aggregate(tried, state, step)["n"]
+
+
 def reason_by_ids(n_pieces: Column, sides: Column) -> Column:
     """How witnesses' lost ids came to be agreed on: ``3 pieces | [3] x [2, 3] -> agreed [3]``."""
     shown = lambda ids: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(ids), lambda i: i.cast("string")), ", "), F.lit("]"))
     return F.concat(n_pieces.cast("string"), F.lit(" pieces | "), F.array_join(F.transform(sides, shown), " x "), F.lit(" -> agreed "), shown(agreed_ids(sides)))
 
 
+def _listed(pieces: Column) -> Column:
+    return F.when(F.size(pieces) > 0, F.concat_ws("; ", pieces)).otherwise("none")
+
+
+def reason_by_text(command: Column, asr: Column, reply: Column) -> Column:
+    """How two witnesses' lost pieces in free text came to be agreed on."""
+    wrecked = F.when(both_wrecked(command, asr, reply), " (both wrecked)").otherwise("")
+    count = F.format_string("a%dxr%d -> %d agreed", F.size(asr), F.size(reply), F.size(agreed_texts(asr, reply)))
+    return F.concat(count, wrecked, F.lit(" | asr lost: "), _listed(asr), F.lit(" | reply lost: "), _listed(reply))
+
+
+def reason_by_consensus(n_hyps: Column, lost: Column, unintelligible: Column, misheard: Column) -> Column:
+    """What a labeller of several hypotheses found; ``misheard`` may be empty."""
+    heard = F.when(F.coalesce(misheard, F.lit("")) != "", F.concat(F.lit(" | misheard as: "), misheard)).otherwise("")
+    return F.concat(n_hyps.cast("string"), F.lit(" hyps | consensus lost: "), _listed(lost), F.when(unintelligible, " (unintelligible)").otherwise(""), heard)
+
+
 def buckets(sides: Column) -> Column:
     """(asr_bucket, resp_bucket): how many pieces the first and the last witness lost."""
     count = lambda mark, i: F.concat(F.lit(mark), F.size(F.element_at(sides, i)).cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,10 +27,24 @@ def word_list(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
+@cache
+def _compatible() -> tuple[str, str]:
+    """Characters whose compatibility form is another single character, and those forms, by Unicode's own rule."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    pairs = [(c, to) for c, to in pairs if len(to) == 1 and c != to]
+    return "".join(c for c, _ in pairs), "".join(to for _, to in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Full-width, superscript and other variants of a character as that character; ligatures and combining marks need ``nfkc``."""
+    source, target = _compatible()
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, source, target)).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
-    """Lower case; bracketed spans out; whatever is not a letter, digit or white space to a space; white space collapsed."""
+    """Lower case; bracketed spans out; variants folded; whatever is not a letter, digit or white space to a space; white space collapsed."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\[[^\]]*\]|<[^>]*>|\([^)]*\)", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(bare), r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -81,22 +96,21 @@ def leaks(target: Column, phrase: Column, stop: list[str]) -> Column:
     return F.arrays_overlap(secret, found(target))
 
 
-def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word lists over the longer one's length, at least 1."""
-    start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: i)
-
-    def row(before: Column, x: Column) -> Column:
-        first = F.array(F.get(before, F.lit(0)) + 1)
-        at = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b)))
-        steps = F.coalesce(at, F.array().cast("array<int>"))
+def _character(number: Column) -> Column:
+    """A character of its own for each number from 1; surrogates are passed over."""
+    code = number + 255
+    return F.decode(F.unhex(F.lpad(F.hex((code + F.when(code >= 0xD800, 0x800).otherwise(0)).cast("long")), 8, "0")), "UTF-32")
 
-        def cell(done: Column, j: Column) -> Column:
-            cost = F.when(F.get(b, j - 1) == x, 0).otherwise(1)
-            return F.concat(done, F.array(F.least(F.get(done, j - 1) + 1, F.get(before, j) + 1, F.get(before, j - 1) + cost)))
 
-        return F.aggregate(steps, first, cell)
+def token_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two word lists over the longer one's length, at least 1.
 
-    return F.element_at(F.aggregate(a, start, row), -1) / F.greatest(F.size(a), F.size(b), F.lit(1))
+    Words that both have become a character each, so the built-in distance of strings serves; all other words of one
+    side match nothing, so one character stands for them.
+    """
+    shared = F.array_intersect(a, b)
+    coded = lambda words, other: F.array_join(F.transform(words, lambda w: F.when(F.array_contains(shared, w), _character(F.array_position(shared, w))).otherwise(F.lit(other))), "")
+    return F.levenshtein(coded(a, "a"), coded(b, "b")) / F.greatest(F.size(a), F.size(b), F.lit(1))
 
 
 def heard_reply(text: Column) -> Column:

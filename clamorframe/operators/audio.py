@@ -51,11 +51,6 @@ def truncated(signal: Column, seconds: int = CLIP_SECONDS, rate: int = RATE) ->
     return F.slice(signal, 1, seconds * rate)
 
 
-def time_span(words: Column, begin: Column, end: Column) -> Column:
-    """Seconds from the first to the last of the aligned words [begin, end)."""
-    return F.struct(F.get(words, begin)["start"].alias("start"), F.get(words, end - 1)["end"].alias("end"))
-
-
 def noise_pool(clips: DataFrame, order: str, clips_wanted: int = POOL_CLIPS, rate: int = RATE) -> DataFrame:
     """The first clips, in order, that are longer than a second once cut to ten."""
     short = clips.withColumn("audio", F.slice("audio", 1, POOL_CLIP_SECONDS * rate))
@@ -161,7 +156,3 @@ def wav(signal: Column) -> Column:
         return rows.map(lambda x: None if x is None else _wav_bytes(np.asarray(x, np.float64)))
 
     return F.pandas_udf(files, "binary")(signal)
-
-
-def n_draws(kinds_needed: int, most: int = 16, each: int = 8) -> int:
-    return min(most, each * kinds_needed)

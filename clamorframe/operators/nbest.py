@@ -1,80 +1,19 @@
-"""How much of a command the first n of its hypotheses recover together, for every n."""
+"""How much of a command the first n of its hypotheses recover together, for every n, in built-in functions.
+
+Hypotheses are a row's few beams, so pairs of them are taken within the row.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NUMBERS, PIECE_STOPWORDS, WAKE_WORDS, normalize, tokens
-
-_SKIPPED = {*PIECE_STOPWORDS, *WAKE_WORDS}
-
-
-def edit_distance(a: list[str], b: list[str]) -> float:
-    """Levenshtein distance of two word lists over the longer one's length, at least 1.
-
-    A column of the table is two bit sets over ``a``: where it grows by one from the cell above, and where it falls.
-    """
-    n = len(a)
-    if not n or not len(b):
-        return max(n, len(b)) / max(n, len(b), 1)
-    places: dict[str, int] = {}
-    for i, w in enumerate(a):
-        places[w] = places.get(w, 0) | 1 << i
-    whole, last = (1 << n) - 1, 1 << (n - 1)
-    grows, falls, distance = whole, 0, n
-    for w in b:
-        same = places.get(w, 0)
-        down = same | falls
-        level = (((same & grows) + grows) ^ grows) | same
-        up = falls | (whole & ~(level | grows))
-        back = grows & level
-        distance += (up & last > 0) - (back & last > 0)
-        up = (up << 1 | 1) & whole
-        grows = (back << 1 & whole) | (whole & ~(down | up))
-        falls = up & down
-    return distance / max(n, len(b))
-
-
-def _glued(words: list[str]) -> list[str]:
-    """``fold`` of one list of words."""
-    out: list[str] = []
-    for w in words:
-        w = NUMBERS.get(w, w)
-        if out and len(w) == 1 and len(out[-1]) == 1 and out[-1].isalpha():
-            out[-1] += w
-        else:
-            out.append(w)
-    return out
-
-
-def _prefixes(sentence: list[str], hyps: list[list[str]]) -> list[dict]:
-    """Scores of the first n hypotheses for n = 1, 2, ...; each hypothesis is met once, and each pair of unlike ones measured once."""
-    content = [w for w in _glued(sentence) if w not in _SKIPPED]
-    out, hits, known = [], [0] * len(content), {}
-    words = [_glued(h) for h in hyps] if content else []
-    total, seen = 0.0, set()
-    for n, own in enumerate(words, 1):
-        for other in words[: n - 1]:
-            pair = (tuple(other), tuple(own))
-            if pair not in known:
-                known[pair] = 0.0 if pair[0] == pair[1] else edit_distance(other, own)
-            total += known[pair]
-        have, first = set(own), set(words[0])
-        hits = [c + (w in have) for c, w in zip(hits, content, strict=True)]
-        seen.add(" ".join(own))
-        share = lambda least: sum(c >= least for c in hits) / len(content)  # noqa: B023, E731
-        saved = [w for w, c in zip(content, hits, strict=True) if c and w not in first]
-        out.append({"n_best": n, "uniq": len(seen), "pair_wer": 2 * total / (n * (n - 1)) if n > 1 else 0.0, "h1": sum(w in first for w in content) / len(content), "any": share(1), "two": share(2), "recovered": saved})
-    return out
-
-
-def _scored(sentences: pd.Series, hyps: pd.Series) -> pd.Series:
-    return pd.Series([_prefixes(list(s), [list(h) for h in hs]) for s, hs in zip(sentences, hyps, strict=True)], dtype=object)
+from ..functions.text import PIECE_STOPWORDS, WAKE_WORDS, fold, normalize, token_distance, tokens, word_list
 
 
-_SCORES = "array<struct<n_best:int,uniq:int,pair_wer:double,h1:double,any:double,two:double,recovered:array<string>>>"
+def pair_distances(words: Column) -> Column:
+    """For each word list the sum of its distances to those before it."""
+    return F.transform(words, lambda own, n: F.aggregate(F.slice(words, 1, n), F.lit(0.0), lambda s, other: s + token_distance(other, own)))
 
 
 def prefix_scores(rows: DataFrame, sentence: str = "sentence", hyps: str = "hyps") -> DataFrame:
@@ -82,10 +21,27 @@ def prefix_scores(rows: DataFrame, sentence: str = "sentence", hyps: str = "hyps
 
     Rows without hypotheses or without a content word give none.
     """
-    words = lambda c: tokens(normalize(c))
-    heard = F.transform(F.coalesce(hyps, F.array().cast("array<string>")), words)
-    scored = rows.withColumn("_scores", F.pandas_udf(_scored, _SCORES)(words(F.col(sentence)), heard))
-    return scored.select(*rows.columns, F.inline("_scores"))
+    words = lambda c: fold(tokens(normalize(c)))
+    skipped = word_list([*PIECE_STOPWORDS, *WAKE_WORDS])
+    step = rows.withColumns({"_hyps": F.transform(F.coalesce(hyps, F.array().cast("array<string>")), words), "_content": F.filter(words(F.col(sentence)), lambda w: ~F.array_contains(skipped, w))})
+    step = step.where((F.size("_hyps") > 0) & (F.size("_content") > 0)).withColumn("_pairs", pair_distances(F.col("_hyps")))
+    content, heard = F.col("_content"), F.col("_hyps")
+    # of each content word the places, from 1, of the hypotheses that have it
+    step = step.withColumn("_at", F.transform(content, lambda w: F.filter(F.transform(heard, lambda h, i: F.when(F.array_contains(h, w), i + 1)), lambda i: i.isNotNull())))
+    n = F.size(content)
+
+    def score(k: Column) -> Column:
+        within = lambda places, j: F.coalesce(F.get(places, F.lit(j)) <= k, F.lit(False))
+        share = lambda j: F.size(F.filter("_at", lambda p: within(p, j))) / n
+        saved = F.filter(F.arrays_zip(content.alias("w"), F.col("_at").alias("p")), lambda x: within(x["p"], 0) & (F.get(x["p"], F.lit(0)) > 1))
+        total = F.aggregate(F.slice("_pairs", 1, k), F.lit(0.0), lambda s, x: s + x)
+        return F.struct(
+            k.alias("n_best"), F.size(F.array_distinct(F.transform(F.slice(heard, 1, k), lambda h: F.array_join(h, " ")))).alias("uniq"),
+            F.coalesce(F.try_divide(2 * total, (k * (k - 1)).cast("double")), F.lit(0.0)).alias("pair_wer"),
+            (F.size(F.filter("_at", lambda p: F.coalesce(F.get(p, F.lit(0)) == 1, F.lit(False)))) / n).alias("h1"), share(0).alias("any"), share(1).alias("two"), F.transform(saved, lambda x: x["w"]).alias("recovered"),
+        )
+
+    return step.select(*rows.columns, F.inline(F.transform(F.sequence(F.lit(1), F.size(heard)), score)))
 
 
 def sweep(scores: DataFrame, band: str = "band") -> DataFrame:

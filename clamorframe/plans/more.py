@@ -1,4 +1,4 @@
-"""More queries on the driver's tables as stand-ins, with the same in DuckDB's SQL where that can say it.
+"""More queries on the driver's tables as stand-ins, with the same in DuckDB's SQL.
 
 ``embeddings`` stand for signals, ``conversations`` for commands (turn 0) and hypotheses (later turns),
 ``events`` for judged samples, their ``props`` for judges' replies.
@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import judge as J
+from ..functions import text as T
 from ..operators import assemble as A
 from ..operators import audio, nbest
 from ..operators import score as S
 from ..operators.select import draw
 from ..sources import provider
 from . import report
+from .built import _WORDS, _list
 from .queries import _JUDGED, _U, _scored_sql, _table, judged
 
 
@@ -94,8 +96,24 @@ _MARKED = ", ".join(f"CASE WHEN {k} = max({k}) OVER () THEN '**' || printf('%.1f
 
 _LEVEL = f"floor({_U('42:snr', 'vec_id')} * 200) / 10"
 
-#: The sweep folds words and measures distances: a test holds it against plain Python.
+_NUMBERS = "CASE x " + " ".join(f"WHEN '{w}' THEN '{d}'" for w, d in T.NUMBERS.items()) + " ELSE x END"
+_FOLD = f"list_reduce(list_transform({_WORDS('text')}, lambda x: [{_NUMBERS}]), lambda a, b: CASE WHEN length(b[1]) = 1 AND regexp_full_match(coalesce(a[-1], ''), '\\p{{L}}') THEN list_concat(list_slice(a, 1, len(a) - 1), [a[-1] || b[1]]) ELSE list_concat(a, b) END, []::VARCHAR[])"
+#: Words that two hypotheses share are a byte each, others of either side one byte: the distance of strings counts bytes.
+_CODED = lambda h, other: f"array_to_string(list_transform({h}, lambda x: CASE WHEN list_contains(c, x) THEN chr((list_position(c, x) + 2)::INT) ELSE chr({other}) END), '')"
+_SWEEP = f"""WITH w AS (SELECT conv_id, turn, {_FOLD} AS h FROM conversations WHERE text IS NOT NULL),
+    s AS (SELECT conv_id, list_filter(h, lambda x: NOT list_contains({_list([*T.PIECE_STOPWORDS, *T.WAKE_WORDS])}, x)) AS content FROM w WHERE turn = 0),
+    k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, h FROM w WHERE turn > 0 AND conv_id IN (SELECT conv_id FROM s WHERE len(content) > 0)),
+    d AS (SELECT conv_id, n, sum(levenshtein({_CODED('ha', 1)}, {_CODED('hb', 2)}) / greatest(len(ha), len(hb), 1)) AS d FROM (SELECT b.conv_id, b.n, a.h AS ha, b.h AS hb, list_intersect(a.h, b.h) AS c FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.n < b.n) GROUP BY ALL),
+    p AS (SELECT k.conv_id, k.n, coalesce(2 * sum(coalesce(d, 0)) OVER (PARTITION BY k.conv_id ORDER BY k.n) / nullif(k.n * (k.n - 1), 0), 0) AS pair_wer FROM k LEFT JOIN d USING (conv_id, n)),
+    u AS (SELECT a.conv_id, a.n, count(DISTINCT array_to_string(b.h, ' ')) AS uniq FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.n <= a.n GROUP BY ALL),
+    x AS (SELECT conv_id, len(content) AS m, unnest(range(1, len(content) + 1)) AS i, unnest(content) AS w FROM s),
+    g AS (SELECT conv_id, i, list_sort(list(n)) AS ns FROM (SELECT x.conv_id, i, n FROM x JOIN k ON k.conv_id = x.conv_id AND list_contains(h, w)) GROUP BY ALL),
+    r AS (SELECT k.conv_id, k.n, x.m, count(*) FILTER (ns[1] <= k.n) AS one, count(*) FILTER (ns[2] <= k.n) AS two, count(*) FILTER (ns[1] = 1) AS h1, count(*) FILTER (ns[1] <= k.n AND ns[1] > 1) AS saved FROM k JOIN x USING (conv_id) LEFT JOIN g ON g.conv_id = x.conv_id AND g.i = x.i GROUP BY ALL)
+    SELECT r.n AS n_best, conv_id % 3 AS band, count(*) AS n, round(avg(uniq), 6) AS uniq, round(avg(pair_wer), 6) AS pair_wer, round(avg(h1 / m), 6) AS h1_recall, round(avg(one / m), 6) AS any_hyp_recall, round(avg(two / m), 6) AS two_hyp_recall, round(avg(one / m) - avg(h1 / m), 6) AS gain, round(avg((saved > 0)::INT), 6) AS rows_recovered
+    FROM r JOIN p USING (conv_id, n) JOIN u USING (conv_id, n) GROUP BY ALL"""
+
 SQL = {
+    "nbest_sweep": _SWEEP,
     "babble_mix": f"SELECT vec_id AS id, {_LEVEL} AS snr_db, {_LEVEL} AS measured_db FROM embeddings",
     "signal_power": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding), 8) AS power, round(list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE, 6) AS peak FROM embeddings",
     "judge_parse": f"WITH {_JUDGED} SELECT kind, {_REPLY} AS type, count(*) AS n, count(*) FILTER (event_id % 5 = 0) AS n_failed FROM judged GROUP BY ALL",

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import assemble as A
+from ..operators import build as B
 from ..operators import score as S
 from ..operators import select as O
+from . import report
 
 _TYPES = {"click": "answer", "view": "repair", "signup": "repair_off", "purchase": "repeat", "error": "bad"}
 
@@ -63,15 +66,21 @@ def score_histogram(spark, sf_dir):
 
 
 def confusion_shift(spark, sf_dir):
-    """Cells of two runs (even and odd users) on the whole grid, none as 0."""
-    rows = judged(spark, sf_dir).groupBy("kind", "judged").agg(F.count_if(F.col("user_id") % 2 == 0).alias("base"), F.count_if(F.col("user_id") % 2 == 1).alias("tuned"))
-    cells = S.grid(spark, kind=S.KINDS, judged=S.JUDGED)
-    return F.broadcast(cells).join(rows, ["kind", "judged"], "left").select("kind", "judged", F.format_string("%d → %d", F.coalesce("base", F.lit(0)), F.coalesce("tuned", F.lit(0))).alias("cell"))
+    """Cells of two runs (even and odd users) on the whole grid, none as 0; the diagonal is bold."""
+    side = lambda parity: judged(spark, sf_dir).where(F.col("user_id") % 2 == parity).groupBy("kind", "judged").agg(F.count("*").alias("n"))
+    return report.shift_table(side(0), side(1), F.broadcast(S.grid(spark, kind=S.KINDS, judged=S.JUDGED)))
 
 
 def snr_bins(spark, sf_dir):
-    rows = judged(spark, sf_dir).where(F.col("value").isNotNull())
-    return rows.groupBy(O.bins(F.col("value") % 30, [0, 4, 8, 12, 16, 20]).cast("int").alias("bin"), "judged").agg(F.count("*").alias("n"))
+    """Judged types by bins of a level on the whole grid; every tenth event is clean and in no bin."""
+    rows = judged(spark, sf_dir).withColumn("level", F.when(F.col("event_id") % 10 > 0, F.col("value") % 30))
+    return report.typed_bins(rows, "level", "judged", [0, 4, 8, 12, 16, 20], S.JUDGED)[0]
+
+
+def clean_ids(spark, sf_dir):
+    """The rows that the bins leave out, as they have no level."""
+    rows = judged(spark, sf_dir).withColumn("level", F.when(F.col("event_id") % 10 > 0, F.col("value") % 30))
+    return report.typed_bins(rows, "level", "judged", [0, 4, 8, 12, 16, 20], S.JUDGED)[1].select("event_id")
 
 
 def kind_caps(spark, sf_dir):
@@ -108,14 +117,16 @@ def min_tokens(spark, sf_dir):
 
 
 def row_unpivot(spark, sf_dir):
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("place")) for i, k in enumerate(S.KINDS))))
-    return _table(spark, sf_dir, "documents").select("doc_id", kinds.alias("k")).select("doc_id", "k.kind", "k.place")
+    """A row a kind of each document, from three structs."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", *(F.struct(F.col(c).alias("target")).alias(k) for k, c in zip(S.KINDS, ("lang", "source", "lang"), strict=True)))
+    return B.triplet_rows(docs, ["doc_id"])
 
 
 def preference_pairs(spark, sf_dir):
-    rows = judged(spark, sf_dir).withColumn("score", S.score_of(F.col("kind"), F.col("judged"), "tree")).where("score < 1")
-    split = F.when(O.draw("42:hold-out", F.col("event_id")) < 0.1, "dev").otherwise("train")
-    return rows.groupBy(F.col("kind"), F.col("judged").alias("rejected_type"), split.alias("split")).agg(F.count("*").alias("n"))
+    """Pairs from rollouts that scored under 1, by kind, rejected type and split; rows and rollouts are joined by id."""
+    rows = judged(spark, sf_dir).withColumn("score", S.score_of(F.col("kind"), F.col("judged"), "tree"))
+    found = A.preference_pairs(rows.select("event_id", "kind", F.col("user_id").alias("target")), rows.select("event_id", F.col("value").alias("response"), "judged", "score"), "event_id")
+    return found.groupBy("kind", "rejected_type", "split").agg(F.count("*").alias("n"), F.sum("chosen").alias("chosen"), F.round(F.sum("rejected"), 2).alias("rejected"))
 
 
 def hash_draws(spark, sf_dir):
@@ -127,7 +138,7 @@ def hash_draws(spark, sf_dir):
 
 _U = lambda purpose, key: f"(('0x' || substr(md5('{purpose}:' || {key}), 1, 8))::BIGINT / 4294967296.0)"
 
-QUERIES = {f.__name__: f for f in (eval_rollup, eval_rollup_cr, confusion_matrix, score_histogram, confusion_shift, snr_bins, kind_caps, first_probe_per_kind, triplet_complete, seen_anti_join, quota_stop, first_recording, min_tokens, row_unpivot, preference_pairs, hash_draws)}
+QUERIES = {f.__name__: f for f in (eval_rollup, eval_rollup_cr, confusion_matrix, score_histogram, confusion_shift, snr_bins, clean_ids, kind_caps, first_probe_per_kind, triplet_complete, seen_anti_join, quota_stop, first_recording, min_tokens, row_unpivot, preference_pairs, hash_draws)}
 
 _TOKENS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''))"
 
@@ -136,8 +147,9 @@ SQL = {
     "eval_rollup_cr": _rollup_sql(["answer", "repair"]),
     "confusion_matrix": f"WITH {_JUDGED} SELECT kind, " + ", ".join(f"count(*) FILTER (judged = '{t}') AS {t}" for t in S.JUDGED) + " FROM judged GROUP BY kind",
     "score_histogram": f"WITH {_scored_sql('legacy')} SELECT kind, score::DOUBLE AS score, count(*) AS n FROM scored WHERE score IS NOT NULL GROUP BY ALL",
-    "confusion_shift": f"WITH {_JUDGED} SELECT k.kind, t.judged, count(*) FILTER (user_id % 2 = 0) || ' → ' || count(*) FILTER (user_id % 2 = 1) AS cell FROM (SELECT unnest({S.KINDS}) AS kind) k CROSS JOIN (SELECT unnest({S.JUDGED}) AS judged) t LEFT JOIN judged j ON j.kind = k.kind AND j.judged = t.judged GROUP BY ALL",
-    "snr_bins": f"WITH {_JUDGED} SELECT least(greatest(floor((value % 30) / 4), 0), 4)::INT AS bin, judged, count(*) AS n FROM judged WHERE value IS NOT NULL GROUP BY ALL",
+    "confusion_shift": f"WITH {_JUDGED} SELECT k.kind, t.judged, CASE WHEN k.kind = t.judged THEN '**' ELSE '' END || count(*) FILTER (user_id % 2 = 0) || ' → ' || count(*) FILTER (user_id % 2 = 1) || CASE WHEN k.kind = t.judged THEN '**' ELSE '' END AS cell FROM (SELECT unnest({S.KINDS}) AS kind) k CROSS JOIN (SELECT unnest({S.JUDGED}) AS judged) t LEFT JOIN judged j ON j.kind = k.kind AND j.judged = t.judged GROUP BY k.kind, t.judged",
+    "snr_bins": f"WITH {_JUDGED}, c AS (SELECT least(greatest(floor((value % 30) / 4), 0), 4)::BIGINT AS bin, judged, count(*) AS n FROM judged WHERE event_id % 10 > 0 AND value IS NOT NULL GROUP BY ALL) SELECT b.bin, t.judged, coalesce(c.n, 0) AS n FROM (SELECT unnest(range(0, 5)) AS bin) b CROSS JOIN (SELECT unnest({S.JUDGED}) AS judged) t LEFT JOIN c USING (bin, judged)",
+    "clean_ids": "SELECT event_id FROM events WHERE event_id % 10 = 0 OR value IS NULL",
     "kind_caps": f"WITH {_JUDGED}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY event_id) AS r FROM judged) SELECT event_id, kind FROM r WHERE r <= CASE kind WHEN 'answer' THEN 50 WHEN 'repair' THEN 70 ELSE r END",
     "first_probe_per_kind": f"WITH {_JUDGED} SELECT user_id, kind, min(event_id) AS event_id FROM judged GROUP BY ALL",
     "triplet_complete": f"WITH {_JUDGED}, h AS (SELECT user_id, list(kind) AS have FROM judged GROUP BY user_id) SELECT user_id, array_to_string(list_filter({S.KINDS}, lambda k: NOT list_contains(have, k)), ',') AS starved FROM h",
@@ -145,7 +157,7 @@ SQL = {
     "quota_stop": "WITH k AS (SELECT doc_id FROM documents WHERE n_chars >= 300 ORDER BY doc_id LIMIT 100) SELECT count(*) AS n_kept, max(doc_id) AS last_id, (SELECT count(*) FROM documents WHERE doc_id <= (SELECT max(doc_id) FROM k)) AS n_claimed FROM k",
     "first_recording": f"SELECT conv_id, min(turn) AS turn FROM conversations WHERE {_TOKENS} >= 4 GROUP BY conv_id",
     "min_tokens": f"SELECT conv_id, turn, {_TOKENS} AS n_tokens FROM conversations WHERE {_TOKENS} >= 4",
-    "row_unpivot": "SELECT doc_id, kind, place FROM documents CROSS JOIN (VALUES ('answer', 0), ('repair', 1), ('repeat', 2)) k(kind, place)",
-    "preference_pairs": f"WITH {_scored_sql('tree')} SELECT kind, judged AS rejected_type, CASE WHEN {_U('42:hold-out', 'event_id')} < 0.1 THEN 'dev' ELSE 'train' END AS split, count(*) AS n FROM scored WHERE score < 1 GROUP BY ALL",
+    "row_unpivot": "SELECT doc_id, kind, place, CASE kind WHEN 'repair' THEN source ELSE lang END AS target FROM documents CROSS JOIN (VALUES ('answer', 0), ('repair', 1), ('repeat', 2)) k(kind, place)",
+    "preference_pairs": f"WITH {_scored_sql('tree')} SELECT kind, judged AS rejected_type, CASE WHEN {_U('42:hold-out', 'event_id')} < 0.1 THEN 'dev' ELSE 'train' END AS split, count(*) AS n, sum(user_id)::BIGINT AS chosen, round(sum(value), 2) AS rejected FROM scored WHERE score < 1 GROUP BY ALL",
     "hash_draws": f"SELECT doc_id, floor({_U('42:snr', 'doc_id')} * 200) / 10 AS snr_db, CASE WHEN {_U('42:slot', 'doc_id')} < 0.2 THEN 'answer' WHEN {_U('42:slot', 'doc_id')} < 0.6 THEN 'repair' ELSE 'repeat' END AS slot FROM documents",
 }

@@ -10,11 +10,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import decide as D
+from ..functions import label as L
 from ..functions import text as T
-from ..operators import audio, places, probe, quota, sound, spans, targets
+from ..operators import audio, labelling, places, probe, quota, sound, spans, targets
 from ..operators import score as S
 from ..operators.select import draw
-from .built import _WORDS, PIECES, _list
+from .built import _IDS, _WORDS, PIECES, _list
 from .queries import _JUDGED, _U, _table, judged
 
 WANTED = {"click": 30, "view": 30, "purchase": 30}
@@ -99,7 +100,18 @@ def loss_overlap_decision(spark, sf_dir):
     pieces = F.slice(F.array_distinct("w0"), 1, PIECES)
     lost = lambda w: F.filter(pieces, lambda p: ~F.array_contains(F.col(w), p))
     label = D.decide_by_text(F.col("text0"), lost("w1"), lost("w2"))
-    return rows.where(F.size("w0") > 0).select("conv_id", label["kind"].alias("kind"), F.array_join(label["missing"], ";").alias("missing"))
+    reason = L.reason_by_text(F.col("text0"), lost("w1"), lost("w2"))
+    return rows.where(F.size("w0") > 0).select("conv_id", label["kind"].alias("kind"), F.array_join(label["missing"], ";").alias("missing"), reason.alias("reason"))
+
+
+def written_targets(spark, sf_dir):
+    """Later turns as a writer's attempts at a repair that must not tell the longest word of the command: the first that does not, and how many did before it."""
+    rows = _table(spark, sf_dir, "conversations").where("text is not null")
+    last = F.max_by(F.col("w"), F.struct(F.length("w").alias("n"), "w"))
+    lost = rows.where("turn = 0").select("conv_id", F.explode(T.tokens(T.normalize(F.col("text")))).alias("w")).groupBy("conv_id").agg(last.alias("lost"))
+    tries = rows.where("turn > 0").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("tries")).join(lost, "conv_id")
+    repair = F.lit("repair")
+    return tries.select("conv_id", L.first_target(F.col("tries"), repair, F.col("lost")).alias("target"), L.leaked_attempts(F.col("tries"), repair, F.col("lost")).alias("n_leaks"))
 
 
 def _words(spark, sf_dir):
@@ -141,9 +153,35 @@ def resampled(spark, sf_dir):
     return out.select("vec_id", F.size("audio").cast("long").alias("n"), F.round(total, 3).alias("total"), F.round(sound.energy(F.col("audio"), 24), 3).alias("energy"))
 
 
+def witness_labels(spark, sf_dir):
+    """Labels of commands from up to three later turns as witnesses, through requests at their grains and a table of replies.
+
+    The replies stand for a labeller's: the command's first words as pieces; the ids of those that a turn lacks, one no
+    piece; for every thirteenth pair no JSON, for every seventeenth no reply.
+    """
+    turns = _table(spark, sf_dir, "conversations").where("turn <= 3")
+    first = turns.where("turn = 0 and text is not null").select("conv_id", F.col("text").alias("sentence"))
+    asked = labelling.piece_requests(first, "conv_id", "pieces")
+    words = first.select("conv_id", F.slice(F.array_distinct(T.tokens(T.normalize(F.col("sentence")))), 1, PIECES).alias("p"))
+    quote = lambda items: F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    as_text = F.transform("p", lambda p: F.concat(F.lit('"'), p, F.lit('"')))
+    given = asked.join(words, "conv_id").select("request_key", F.concat(F.lit('{"pieces": '), quote(as_text), F.lit("}")).alias("response")).dropDuplicates(["request_key"])
+    pieces = labelling.pieces_of(asked, given, "conv_id")
+    later = turns.where("turn > 0").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(F.when(x["turn"] == 1, "HEARD").otherwise("REPLY").alias("mark"), x["text"].alias("text"))).alias("said"))
+    heard = labelling.witnesses(later, ["conv_id"], F.col("said"))
+    requests = labelling.loss_requests(heard, pieces, "conv_id", {"HEARD": "asr", "REPLY": "reply"})
+    has = T.tokens(T.normalize(F.col("text")))
+    number = F.col("conv_id") * 3 + F.col("witness")
+    lost = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: ~F.array_contains(has, F.element_at(F.col("pieces"), i)))
+    reply = F.when(number % 13 == 12, "no json").otherwise(F.concat(F.lit('{"lost": '), quote(F.concat(F.array(F.lit("99")), F.transform(lost, lambda i: i.cast("string")))), F.lit("}")))
+    answers = requests.join(pieces, "conv_id").where(number % 17 != 16).select("request_key", reply.alias("response")).groupBy("request_key").agg(F.min("response").alias("response"))
+    out = labelling.labelled(requests, answers, pieces, "conv_id", ["conv_id"], 2)
+    return out.select("conv_id", "kind", F.array_join("lost", ";").alias("lost"), "asr_bucket", "resp_bucket", "reason")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (probe_rounds, probe_outcomes, slot_levels, chained_quotas, sweep_draws, target_fold, loss_overlap_decision, alignment_state, span_times, span_noise, resampled)
+    for f in (probe_rounds, probe_outcomes, slot_levels, chained_quotas, sweep_draws, target_fold, loss_overlap_decision, written_targets, witness_labels, alignment_state, span_times, span_noise, resampled)
 }
 
 
@@ -235,7 +273,20 @@ SQL = {
         l AS (SELECT *, list_filter(p, lambda x: NOT list_contains(w1, x)) AS a, list_filter(p, lambda x: NOT list_contains(w2, x)) AS r FROM c),
         g AS (SELECT *, list_filter(a, lambda x: list_contains(r, x) AND NOT list_contains({_STOP}, x)) AS g FROM l),
         k AS (SELECT *, CASE WHEN {_SHARE('a')} >= {D.LOST_SHARE} AND {_SHARE('r')} >= {D.LOST_SHARE} OR len(g) = 1 AND {_SHARE('g')} >= {D.LOST_SHARE} THEN 'repeat' WHEN len(g) = 0 THEN 'answer' WHEN len(g) = 1 THEN 'repair' ELSE 'repeat' END AS kind FROM g)
-        SELECT conv_id, kind, array_to_string(CASE kind WHEN 'repeat' THEN list_concat(a, list_filter(r, lambda x: NOT list_contains(a, x))) WHEN 'repair' THEN g ELSE [] END, ';') AS missing FROM k""",
+        SELECT conv_id, kind, array_to_string(CASE kind WHEN 'repeat' THEN list_concat(a, list_filter(r, lambda x: NOT list_contains(a, x))) WHEN 'repair' THEN g ELSE [] END, ';') AS missing,
+          'a' || len(a) || 'xr' || len(r) || ' -> ' || len(g) || ' agreed' || CASE WHEN {_SHARE('a')} >= {D.LOST_SHARE} AND {_SHARE('r')} >= {D.LOST_SHARE} THEN ' (both wrecked)' ELSE '' END || ' | asr lost: ' || coalesce(nullif(array_to_string(a, '; '), ''), 'none') || ' | reply lost: ' || coalesce(nullif(array_to_string(r, '; '), ''), 'none') AS reason FROM k""",
+    "written_targets": f"""WITH w AS (SELECT conv_id, turn, text, {_WORDS('text')} AS w FROM conversations WHERE text IS NOT NULL),
+        l AS (SELECT conv_id, arg_max(x, (length(x), x)) AS lost FROM (SELECT conv_id, unnest(w) AS x FROM w WHERE turn = 0) GROUP BY conv_id),
+        a AS (SELECT w.conv_id, turn, trim(text) AS text, trim(text) <> '' AND list_contains(w, lost) AND NOT list_contains({_list(L.NON_PIECE_WORDS)}, lost) AS leak FROM w JOIN l ON l.conv_id = w.conv_id WHERE turn > 0 QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY turn) <= {L.TARGET_ATTEMPTS}),
+        f AS (SELECT conv_id, min(turn) FILTER (text <> '' AND NOT leak) AS took FROM a GROUP BY conv_id)
+        SELECT conv_id, coalesce(max(text) FILTER (turn = took), '') AS target, count(*) FILTER (leak AND (took IS NULL OR turn < took))::INT AS n_leaks FROM a JOIN f USING (conv_id) GROUP BY conv_id""",
+    "witness_labels": f"""WITH t AS (SELECT conv_id, turn, {_WORDS('text')} AS w FROM conversations WHERE turn <= 3 AND text IS NOT NULL),
+        k AS (SELECT conv_id, list_filter(p, lambda x: NOT list_contains({_list(T.WAKE_WORDS)}, x)) AS p FROM (SELECT conv_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:{PIECES}] AS p FROM t WHERE turn = 0)),
+        v AS (SELECT t.conv_id, turn, p, (t.conv_id * 3 + turn - 1) AS number, list_filter(range(1, len(p) + 1), lambda i: NOT list_contains(w, p[i])) AS ids FROM t JOIN k ON k.conv_id = t.conv_id WHERE turn > 0 AND len(p) > 0 AND len(w) > 0),
+        g AS (SELECT conv_id, any_value(p) AS p, list(ids ORDER BY turn) AS sides, bool_or(number % 13 = 12 OR number % 17 = 16) AS broken FROM v GROUP BY conv_id HAVING count(*) >= 2),
+        a AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: len(list_filter(sides, lambda s: NOT list_contains(s, i))) = 0) AS g FROM g WHERE NOT broken)
+        SELECT conv_id, CASE WHEN len(g) = 0 THEN 'answer' WHEN len(g) = 1 AND len(p) > 1 THEN 'repair' ELSE 'repeat' END AS kind, array_to_string(list_transform(g, lambda i: p[i]), ';') AS lost, 'a' || len(sides[1]) AS asr_bucket, 'r' || len(sides[-1]) AS resp_bucket,
+          len(p) || ' pieces | ' || array_to_string(list_transform(sides, lambda s: {_IDS('s')}), ' x ') || ' -> agreed ' || {_IDS('g')} AS reason FROM a""",
     "alignment_state": f"WITH {_SPOKEN} SELECT conv_id, n_tokens, n_words, reason FROM st",
     "span_times": f'WITH {_SPOKEN} SELECT conv_id, min(start) AS start, max("end") AS "end" FROM ws WHERE place IN (1, 2) AND conv_id IN (SELECT conv_id FROM st WHERE reason IS NULL) GROUP BY conv_id',
     "span_noise": f"SELECT vec_id AS id, greatest(CASE WHEN {_B} - {_A} < 1600 THEN {_MIDDLE} ELSE {_A} END, 0)::INT AS first, (least(CASE WHEN {_B} - {_A} < 1600 THEN {_MIDDLE} + 1600 ELSE {_B} END, 6400) - 1)::INT AS last FROM embeddings",

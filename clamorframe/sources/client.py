@@ -94,3 +94,31 @@ def ask_open(spark: SparkSession, requests: DataFrame, call: Callable[[str, str]
         if not part.isEmpty():
             runlog.append(replies(part, call, **how), path)
     return runlog.rows(spark, path, "request_key string, response string")
+
+
+def generated(rows: DataFrame, load: Callable[[], Callable[[list], list[str]]], column: str, batch: int = 16, n_best: int = 1, prefill: str | None = None) -> DataFrame:
+    """``rows`` with ``texts``: what a model that each task loads once makes of ``column``, ``batch`` rows at a time.
+
+    ``load`` returns a function from a list of inputs to their texts, ``n_best`` for each input, one input after the other.
+    Texts are in lower case, without white space around; a prefill, which the model was given to go on with, is put back
+    before them. A null input has null texts. Another number of texts than asked for is an error.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for frame in frames:
+            texts: list[list[str] | None] = [None] * len(frame)
+            given = [i for i, x in enumerate(frame[column]) if x is not None]
+            for at in range(0, len(given), batch):
+                part = given[at : at + batch]
+                model = model or load()
+                out = model([frame[column].iloc[i] for i in part])
+                if len(out) != n_best * len(part):
+                    raise ValueError(f"{len(out)} texts for {len(part)} inputs, {n_best} wanted of each")
+                made = [(prefill or "") + t.lower().strip() for t in out]
+                for k, i in enumerate(part):
+                    texts[i] = made[k * n_best : (k + 1) * n_best]
+            yield frame.assign(texts=pd.Series(texts, index=frame.index, dtype="object"))
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return rows.mapInPandas(run, f"{kinds}, texts array<string>")

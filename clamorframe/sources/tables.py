@@ -40,12 +40,6 @@ def write_rows_json(rows: DataFrame, path: str) -> None:
     rows.drop("audio").write.partitionBy("split").mode("overwrite").json(path)
 
 
-def write_log(samples: DataFrame, summary: DataFrame, path: str) -> None:
-    """Samples and the summary of one run as two JSON-lines folders: a run that stops before its end has no summary."""
-    samples.write.mode("overwrite").json(f"{path}/samples")
-    summary.withColumn("type", F.lit("summary")).write.mode("overwrite").json(f"{path}/summary")
-
-
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a log in one file or many, as (line, value), for ``jsonl``; ``line`` orders by file name, then place in the file."""
     lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("line"))

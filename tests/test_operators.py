@@ -81,11 +81,16 @@ def _slow_distance(a, b):
     return d[len(a), len(b)] / max(len(a), len(b), 1)
 
 
-def test_edit_distance():
+def test_token_distance(spark):
+    from clamorframe.functions.text import token_distance
+
     rng = random.Random(1)
-    for _ in range(300):
-        a, b = ([rng.choice("xyz") for _ in range(rng.randrange(7))] for _ in range(2))
-        assert nbest.edit_distance(a, b) == pytest.approx(_slow_distance(a, b))
+    pairs = [[[rng.choice(["x", "yy", "z", "é", "w w"]) for _ in range(rng.randrange(9))] for _ in range(2)] for _ in range(300)]
+    wide = [f"w{i}" for i in range(56_000)]
+    pairs += [[wide[:300], wide[5:290]]]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>").select("i", token_distance(F.col("a"), F.col("b")).alias("d"))
+    for r in got.collect():
+        assert r["d"] == pytest.approx(_slow_distance(*pairs[r["i"]]))
 
 
 def test_prefix_scores(spark):

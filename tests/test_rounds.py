@@ -367,3 +367,52 @@ def test_the_least_claim_wins_though_it_is_late(spark, tmp_path):
         claims.drain(stream, f"{tmp_path}/out", f"{tmp_path}/mark")
         given.append(rows(spark.read.parquet(f"{tmp_path}/out"), "id", "seq"))
     assert given[1] == [] and given[-1][:2] == [(1, 20), (2, 5)] and (9, 1) in given[-1] and len([x for x in given[-1] if x[0] == 1]) == 1
+
+
+# --- labels at their grains
+
+
+def test_labels_through_requests(spark):
+    from clamorframe.operators import labelling as G
+
+    utterances = spark.createDataFrame([(1, "Play jazz, Olly!"), (1, "Play jazz, Olly!"), (2, "lamp on"), (3, "x")], "id long, sentence string")
+    asked = G.piece_requests(utterances, "id", "sys")
+    assert rows(asked, "id", "user") == [(1, "COMMAND: play jazz olly"), (2, "COMMAND: lamp on"), (3, "COMMAND: x")]
+    said = {"COMMAND: play jazz olly": '```json\n{"pieces": ["play", " jazz ", "olly", ""]}\n```', "COMMAND: lamp on": '{"pieces": ["lamp on"]}', "COMMAND: x": "no json"}
+    keys = {r["user"]: r["request_key"] for r in asked.collect()}
+    replies = spark.createDataFrame([(keys[u], r) for u, r in said.items()], "request_key string, response string")
+    pieces = G.pieces_of(asked, replies, "id")
+    assert sorted((r["id"], r["pieces"]) for r in pieces.collect()) == [(1, ["play", "jazz"]), (2, ["lamp on"])]
+    probes = spark.createDataFrame([(1, 0, "play it", "which?"), (1, 1, "play jazz", " "), (1, 2, "so", "no"), (2, 0, "ramp", "what"), (3, 0, "a", "b")], "id long, pos int, heard string, reply string")
+    both = F.array(*(F.struct(F.lit(m).alias("mark"), F.col(c).alias("text")) for m, c in (("HEARD", "heard"), ("REPLY", "reply"))))
+    heard = G.witnesses(probes, ["id", "pos"], both)
+    requests = G.loss_requests(heard, pieces, "id", {"HEARD": "a", "REPLY": "b"})
+    users = {(r["id"], r["pos"], r["witness"]): (r["system"], r["user"], r["request_key"]) for r in requests.collect()}
+    assert users[1, 0, 0][:2] == ("a", "KEY PIECES:\n1. play\n2. jazz\nHEARD: play it") and (1, 1, 1) not in users and (3, 0, 0) not in users
+    answers = {(1, 0, 0): '{"lost": ["2", 7, "x"]}', (1, 0, 1): '{"lost": [1, 2]}', (1, 1, 0): '{"lost": []}', (1, 2, 0): '{"lost": [1]}', (2, 0, 0): '{"lost": [1]}', (2, 0, 1): '{"lost": [1]}'}
+    table = spark.createDataFrame([(users[k][2], a) for k, a in answers.items()], "request_key string, response string")
+    got = G.labelled(requests, table, pieces, "id", ["id", "pos"], 2)
+    assert sorted((r["id"], r["pos"], r["kind"], r["lost"], r["asr_bucket"], r["resp_bucket"], r["reason"]) for r in got.collect()) == [
+        (1, 0, "repair", ["jazz"], "a1", "r2", "2 pieces | [2] x [1, 2] -> agreed [2]"), (2, 0, "repeat", ["lamp on"], "a1", "r1", "1 pieces | [1] x [1] -> agreed [1]"),
+    ]
+    shown = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert shown(G.two_lines(F.lit("A b."), "HEARD", F.lit("C"))) == "COMMAND: a b\nHEARD:   c" and shown(G.two_lines(F.lit("a"), "REPLY", F.lit("c"))) == "COMMAND: a\nREPLY:   c"
+    assert shown(G.hypotheses(F.lit("A"), F.array(F.lit("B!"), F.lit(" "), F.lit("c")))) == "COMMAND: a\nHYP 1: b\nHYP 2: c"
+    assert shown(G.quoted(F.lit("A b"), F.lit("b"))) == 'COMMAND:\n"A b"\nLOST-PIECE: "b"' and shown(G.quoted(F.lit("A"))) == 'COMMAND:\n"A"'
+
+
+def test_a_model_is_loaded_once_a_task(spark):
+    def load():
+        seen = []
+
+        def model(inputs):
+            seen.append(len(inputs))
+            return [f" {x}-{k} N{len(seen)} " for x in inputs for k in range(2)]
+
+        return model
+
+    table = spark.createDataFrame([(i, None if i == 3 else f"In{i}") for i in range(7)], "id int, prompt string").coalesce(1)
+    got = {r["id"]: r["texts"] for r in client.generated(table, load, "prompt", batch=4, n_best=2, prefill="Heard: ").collect()}
+    assert got[0] == ["Heard: in0-0 n1", "Heard: in0-1 n1"] and got[3] is None and got[6] == ["Heard: in6-0 n2", "Heard: in6-1 n2"]
+    with pytest.raises(Exception, match="wanted of each"):
+        client.generated(table, load, "prompt").collect()
