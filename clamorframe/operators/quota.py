@@ -6,7 +6,9 @@ range are counted, and only the range that holds the n-th is read again and part
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,5 +87,25 @@ def chained(stages: list[Stage], key: str, order: str, seen: DataFrame | None =
         own = cut(passed.select("_key"), "claims")
         taken.append(own.select(f"_key.{key}", F.lit(stage.name).alias("stage")))
         claims = own if claims is None else claims.unionByName(own)
-    whole = lambda parts: parts[0] if len(parts) == 1 else whole([parts[0].unionByName(parts[1]), *parts[2:]])
-    return whole(kept), whole(taken)
+    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, taken)
+
+
+def until(candidates: DataFrame, build: Callable[[DataFrame], DataFrame], wanted: int, order: str, share: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(kept, passed): the first ``wanted`` candidates that a costly ``build`` makes something of, and all built ones up to the last of them.
+
+    ``build`` returns its candidates with ``order`` and ``reason``, null for success. It gets blocks along the order, each with
+    ``share`` candidates for every success still missing, and no more of them once there are enough; so it is asked for little
+    beyond what is kept. Every block is a table, and no row is built twice.
+    """
+    built: list[DataFrame] = []
+    rest, have = candidates.where(F.col(order).isNotNull()), 0
+    while have < wanted:
+        last = nth_good(rest, F.lit(True), max(1, round((wanted - have) * share)), order)
+        block = cut(build(up_to(rest, last, order)), "built")
+        built.append(block)
+        have += block.where(F.col("reason").isNull()).count()
+        if last is None:
+            break
+        rest = rest.where(F.col(order) > last)
+    whole = reduce(DataFrame.unionByName, built)
+    return quota(whole, F.col("reason").isNull(), wanted, order)

@@ -14,18 +14,22 @@ from ..functions import label as L
 from ..functions import text as T
 from ..operators import audio, labelling, places, probe, quota, sound, spans, targets
 from ..operators import score as S
+from ..operators.assemble import LEAST_TOKENS
 from ..operators.select import draw
+from . import dataset
 from .built import _IDS, _WORDS, PIECES, _list
 from .queries import _JUDGED, _U, _table, judged
 
 WANTED = {"click": 30, "view": 30, "purchase": 30}
+#: Triplets and answer rows of a build's stages.
+BUILT = {"test": 8, "train": 8, "answers": 5}
 #: Seconds that a letter takes in a stand-in for aligned words.
 LETTER = 0.0625
 
 
-def _labelled(spark, sf_dir):
-    """A labeller: a draw hears one of its user's events, by number; what that was judged is the label, ``bad`` and ``repair_off`` are none."""
-    rows = judged(spark, sf_dir).select("user_id", "event_id", "judged", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("place"))
+def _labelled(rows):
+    """A labeller: a draw hears one of its user's events (user_id, event_id, judged), by number; what that was judged is the label, other than kinds are none."""
+    rows = rows.select("user_id", "event_id", "judged", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("place"))
     counts = rows.groupBy("user_id").agg(F.count("*").alias("n"))
 
     def label(draws):
@@ -37,7 +41,7 @@ def _labelled(spark, sf_dir):
 
 
 def _probing(spark, sf_dir, kinds=S.KINDS, batch=probe.BATCH):
-    return probe.probe_rounds(_table(spark, sf_dir, "events"), "user_id", _labelled(spark, sf_dir), kinds, batch)
+    return probe.probe_rounds(_table(spark, sf_dir, "events"), "user_id", _labelled(judged(spark, sf_dir)), kinds, batch)
 
 
 def probe_rounds(spark, sf_dir):
@@ -105,10 +109,9 @@ def loss_overlap_decision(spark, sf_dir):
 
 
 def written_targets(spark, sf_dir):
-    """Later turns as a writer's attempts at a repair that must not tell the longest word of the command: the first that does not, and how many did before it."""
+    """Later turns as a writer's attempts at a repair that must not tell the command's first word: the first that does not, and how many did before it."""
     rows = _table(spark, sf_dir, "conversations").where("text is not null")
-    last = F.max_by(F.col("w"), F.struct(F.length("w").alias("n"), "w"))
-    lost = rows.where("turn = 0").select("conv_id", F.explode(T.tokens(T.normalize(F.col("text")))).alias("w")).groupBy("conv_id").agg(last.alias("lost"))
+    lost = rows.where("turn = 0").select("conv_id", F.get(T.tokens(T.normalize(F.col("text"))), F.lit(0)).alias("lost")).where("lost is not null")
     tries = rows.where("turn > 0").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("tries")).join(lost, "conv_id")
     repair = F.lit("repair")
     return tries.select("conv_id", L.first_target(F.col("tries"), repair, F.col("lost")).alias("target"), L.leaked_attempts(F.col("tries"), repair, F.col("lost")).alias("n_leaks"))
@@ -179,9 +182,44 @@ def witness_labels(spark, sf_dir):
     return out.select("conv_id", "kind", F.array_join("lost", ";").alias("lost"), "asr_bucket", "resp_bucket", "reason")
 
 
+def _heard(spark, sf_dir):
+    """Later turns as what a draw can hear: the kind by the length of the text, none for a quarter of them."""
+    kind = F.element_at(F.array(*map(F.lit, [*S.KINDS, "none"])), (F.length("text") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "conversations").where("turn > 0 and text is not null").select(F.col("conv_id").alias("user_id"), F.col("turn").cast("long").alias("event_id"), kind.alias("judged"))
+
+
+def dataset_build(spark, sf_dir):
+    """A build from commands: test and training triplets by the parity of the conversation, then answers from what is left.
+
+    Draws hear later turns; a writer's attempts are the later turns in order, and a repair must not tell the command's first word.
+    """
+    return _build(spark, sf_dir)[0].select("id", "kind", "target", "snr_db", "slurp_id", "split")
+
+
+def dataset_reasons(spark, sf_dir):
+    """Why the same build passed over conversations, by stage."""
+    return _build(spark, sf_dir)[1]
+
+
+def _build(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").where("text is not null")
+    commands = turns.where("turn = 0").select(F.col("conv_id").alias("user_id"), F.col("conv_id").alias("seq"), F.col("text").alias("sentence"))
+    said = turns.where("turn > 0").groupBy(F.col("conv_id").alias("user_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("tries"))
+    lost = commands.select("user_id", F.slice(T.tokens(T.normalize(F.col("sentence"))), 1, 1).alias("lost"))
+    hears = _labelled(_heard(spark, sf_dir))
+    label = lambda draws: hears(draws).join(lost, "user_id", "left")
+    write = lambda probes: probes.select("user_id", "kind").join(said, "user_id")
+    even, odd = (commands.where(F.col("user_id") % 2 == k) for k in (0, 1))
+    stages = [
+        dataset.Stage("test", even, "test", BUILT["test"], label), dataset.Stage("train", odd, "train", BUILT["train"], label, write),
+        dataset.Stage("answers", odd, "train", BUILT["answers"], label, write, ["answer"], probe.ANSWER_BATCH),
+    ]
+    return dataset.run(stages, "user_id", "seq")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (probe_rounds, probe_outcomes, slot_levels, chained_quotas, sweep_draws, target_fold, loss_overlap_decision, written_targets, witness_labels, alignment_state, span_times, span_noise, resampled)
+    for f in (probe_rounds, probe_outcomes, slot_levels, chained_quotas, sweep_draws, target_fold, loss_overlap_decision, written_targets, witness_labels, dataset_build, dataset_reasons, alignment_state, span_times, span_noise, resampled)
 }
 
 
@@ -195,9 +233,9 @@ def _slot_sql(key: str, bands: dict, clean: bool) -> tuple[str, str]:
     return slot, f"CASE WHEN slot = 'answer' AND {_U('42:clean', key)} < {audio.CLEAN_SHARE} THEN NULL ELSE {level} END" if clean else level
 
 
-def _rounds_sql(p: str, kinds: list[str], batch: int) -> str:
-    """Tables {p}g0.. of the probes that each round keeps, {p}t0.. of its labelled draws, and {p}o3 of what is open behind the last."""
-    out = [f"{p}o0 AS (SELECT DISTINCT user_id, {kinds} AS needed FROM events)"]
+def _rounds_sql(p: str, kinds: list[str], batch: int, source: str = "events") -> str:
+    """Of all user_id of ``source``, which hear the rows of e, of n by number: tables {p}g0.. of the probes that each round keeps, {p}t0.. of its labelled draws, and {p}o3 of what is open behind the last."""
+    out = [f"{p}o0 AS (SELECT DISTINCT user_id, {kinds} AS needed FROM {source})"]
     for r in range(probe.ROUNDS):
         key = f"user_id || ':{r}:' || pos"
         slot, level = _slot_sql(key, audio.SLOT_SNR_DISJOINT, True)
@@ -214,6 +252,34 @@ _HEARD = f"{_JUDGED}, e AS (SELECT user_id, event_id, judged, row_number() OVER
 _ALL = lambda p, t: " UNION ALL ".join(f"SELECT * FROM {p}{t}{r}" for r in range(probe.ROUNDS))
 
 
+def _build_sql(result: str) -> str:
+    """Tables of the build's stages: c candidates with what each kind got, w their successes counted, p those passed, then ``result``."""
+    first = lambda p, k: f"(SELECT arg_min(CASE WHEN snr IS NULL THEN -1 ELSE snr END, round) FROM ({_ALL(p, 'g')}) WHERE user_id = u.user_id AND kind = '{k}')"
+    has = lambda p, k: f"EXISTS (SELECT 1 FROM ({_ALL(p, 'g')}) g WHERE g.user_id = u.user_id AND g.kind = '{k}')"
+    target = {"answer": "plain", "repair": "safe", "repeat": "plain"}
+    parts = [
+        f"""e AS (SELECT user_id, event_id, judged, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM (SELECT conv_id AS user_id, turn AS event_id, CASE length(text) % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'repair' WHEN 2 THEN 'repeat' ELSE 'none' END AS judged FROM conversations WHERE turn > 0 AND text IS NOT NULL))""",
+        "n AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id)",
+        f"cm AS (SELECT conv_id AS user_id, text, {_WORDS('text')} AS w, len({_TOKENS_OF('text')}) AS n_tokens FROM conversations WHERE turn = 0 AND text IS NOT NULL)",
+        "lo AS (SELECT user_id, w[1] AS lost FROM cm WHERE len(w) > 0)",
+        f"att AS (SELECT conv_id AS user_id, turn, trim(text) AS text, list_contains({_WORDS('text')}, lost) AND NOT list_contains({_list(L.NON_PIECE_WORDS)}, lost) AS leak FROM conversations JOIN lo ON lo.user_id = conv_id WHERE turn > 0 AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= {L.TARGET_ATTEMPTS})",
+        "ta AS (SELECT user_id, coalesce(arg_min(text, turn) FILTER (text <> ''), '') AS plain, coalesce(arg_min(text, turn) FILTER (text <> '' AND NOT leak), '') AS safe FROM att GROUP BY user_id)",
+        _rounds_sql("x", S.KINDS, probe.BATCH, "cm"), _rounds_sql("y", ["answer"], probe.ANSWER_BATCH, "cm"),
+    ]
+    for i, (stage, parity, p, kinds, free) in enumerate((("test", 0, "x", S.KINDS, ""), ("train", 1, "x", S.KINDS, ""), ("answers", 1, "y", ["answer"], " AND u.user_id NOT IN (SELECT user_id FROM p1)"))):
+        starved = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT {has(p, k)} THEN '{k}' END" for k in kinds) + "], lambda x: x IS NOT NULL), ',')"
+        unwritten = " OR ".join(f"coalesce({target[k]}, '') = ''" for k in kinds) if stage != "test" else "false"
+        name = "'probe'" if len(kinds) == 1 else "'probe:' || st"
+        parts += [
+            f"c{i} AS (SELECT *, CASE WHEN st <> '' THEN {name} WHEN {unwritten} THEN 'targets' END AS reason FROM (SELECT u.user_id, ta.plain, ta.safe, {starved} AS st, {', '.join(f'{first(p, k)} AS s_{k}' for k in kinds)} FROM cm u LEFT JOIN ta USING (user_id) WHERE u.user_id % 2 = {parity} AND n_tokens >= {LEAST_TOKENS}{free}))",
+            f"w{i} AS (SELECT *, sum((reason IS NULL)::INT) OVER (ORDER BY user_id) AS got FROM c{i})",
+            f"p{i} AS (SELECT * FROM w{i} WHERE user_id <= (SELECT coalesce(min(user_id) FILTER (got >= {BUILT[stage]}), max(user_id)) FROM w{i}))",
+            f"k{i} AS (" + " UNION ALL ".join(f"SELECT {i} AS stage, user_id, {j} AS place, '{k}' AS kind, {target[k] if stage != 'test' else chr(39) * 2} AS target, s_{k} AS snr, '{'test' if stage == 'test' else 'train'}' AS split FROM p{i} WHERE reason IS NULL" for j, k in enumerate(kinds)) + ")",
+            f"r{i} AS (SELECT '{stage}' AS stage, reason FROM p{i} WHERE reason IS NOT NULL UNION ALL SELECT '{stage}', 'seen/short' FROM cm WHERE user_id % 2 = {parity} AND user_id NOT IN (SELECT user_id FROM p{i}) AND user_id <= (SELECT max(user_id) FROM p{i}))",
+        ]
+    return f"WITH {', '.join(parts)} {result}"
+
+
 def _outcomes_sql(p: str, build: str, reason: str) -> str:
     return f"SELECT '{build}' AS build, {reason} AS reason, count(*) AS n FROM {p}o{probe.ROUNDS} GROUP BY ALL UNION ALL SELECT '{build}', 'format', count(*) FROM ({_ALL(p, 't')}) WHERE judged = 'bad' HAVING count(*) > 0"
 
@@ -276,7 +342,7 @@ SQL = {
         SELECT conv_id, kind, array_to_string(CASE kind WHEN 'repeat' THEN list_concat(a, list_filter(r, lambda x: NOT list_contains(a, x))) WHEN 'repair' THEN g ELSE [] END, ';') AS missing,
           'a' || len(a) || 'xr' || len(r) || ' -> ' || len(g) || ' agreed' || CASE WHEN {_SHARE('a')} >= {D.LOST_SHARE} AND {_SHARE('r')} >= {D.LOST_SHARE} THEN ' (both wrecked)' ELSE '' END || ' | asr lost: ' || coalesce(nullif(array_to_string(a, '; '), ''), 'none') || ' | reply lost: ' || coalesce(nullif(array_to_string(r, '; '), ''), 'none') AS reason FROM k""",
     "written_targets": f"""WITH w AS (SELECT conv_id, turn, text, {_WORDS('text')} AS w FROM conversations WHERE text IS NOT NULL),
-        l AS (SELECT conv_id, arg_max(x, (length(x), x)) AS lost FROM (SELECT conv_id, unnest(w) AS x FROM w WHERE turn = 0) GROUP BY conv_id),
+        l AS (SELECT conv_id, w[1] AS lost FROM w WHERE turn = 0 AND len(w) > 0),
         a AS (SELECT w.conv_id, turn, trim(text) AS text, trim(text) <> '' AND list_contains(w, lost) AND NOT list_contains({_list(L.NON_PIECE_WORDS)}, lost) AS leak FROM w JOIN l ON l.conv_id = w.conv_id WHERE turn > 0 QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY turn) <= {L.TARGET_ATTEMPTS}),
         f AS (SELECT conv_id, min(turn) FILTER (text <> '' AND NOT leak) AS took FROM a GROUP BY conv_id)
         SELECT conv_id, coalesce(max(text) FILTER (turn = took), '') AS target, count(*) FILTER (leak AND (took IS NULL OR turn < took))::INT AS n_leaks FROM a JOIN f USING (conv_id) GROUP BY conv_id""",
@@ -287,6 +353,8 @@ SQL = {
         a AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: len(list_filter(sides, lambda s: NOT list_contains(s, i))) = 0) AS g FROM g WHERE NOT broken)
         SELECT conv_id, CASE WHEN len(g) = 0 THEN 'answer' WHEN len(g) = 1 AND len(p) > 1 THEN 'repair' ELSE 'repeat' END AS kind, array_to_string(list_transform(g, lambda i: p[i]), ';') AS lost, 'a' || len(sides[1]) AS asr_bucket, 'r' || len(sides[-1]) AS resp_bucket,
           len(p) || ' pieces | ' || array_to_string(list_transform(sides, lambda s: {_IDS('s')}), ' x ') || ' -> agreed ' || {_IDS('g')} AS reason FROM a""",
+    "dataset_build": _build_sql("SELECT row_number() OVER (ORDER BY stage, user_id, place) AS id, kind, target, CASE WHEN snr >= 0 THEN snr END AS snr_db, user_id AS slurp_id, split FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2)"),
+    "dataset_reasons": _build_sql("SELECT stage, reason, count(*) AS n FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY ALL"),
     "alignment_state": f"WITH {_SPOKEN} SELECT conv_id, n_tokens, n_words, reason FROM st",
     "span_times": f'WITH {_SPOKEN} SELECT conv_id, min(start) AS start, max("end") AS "end" FROM ws WHERE place IN (1, 2) AND conv_id IN (SELECT conv_id FROM st WHERE reason IS NULL) GROUP BY conv_id',
     "span_noise": f"SELECT vec_id AS id, greatest(CASE WHEN {_B} - {_A} < 1600 THEN {_MIDDLE} ELSE {_A} END, 0)::INT AS first, (least(CASE WHEN {_B} - {_A} < 1600 THEN {_MIDDLE} + 1600 ELSE {_B} END, 6400) - 1)::INT AS last FROM embeddings",
