@@ -81,3 +81,19 @@ def summary(samples: DataFrame, kinds: list[str] = S.KINDS) -> DataFrame:
     out = samples.agg(*(mean(k).alias(n) for k, n in names.items()), *count, F.count_if("heard_failed").alias("heard_parse_failures"), F.count_if("judge_failed").alias("judge_parse_failures"),
                       F.count_if("unanswered").alias("unanswered_rows"), F.count_if(F.col("score").isNull() & ~F.col("unanswered")).alias("unscored_rows"))
     return out.withColumn("EAR", S.harmonic(*(F.col(names[k]) for k in kinds)))
+
+
+def _counted(samples: DataFrame, label: Column, name: str) -> DataFrame:
+    """One row: a map from label to count, in the order of labels; empty without any. Labels are a grid's cells."""
+    each = samples.select(label.alias("_l")).where("_l is not null").groupBy("_l").agg(F.count("*").alias("_n"))
+    entries = F.array_sort(F.collect_list(F.struct("_l", "_n")))
+    return each.agg(F.map_from_entries(entries).alias(name))
+
+
+def record(samples: DataFrame, kinds: list[str] = S.KINDS, per_kind: bool = False, **told: str) -> DataFrame:
+    """The summary line of a run: ``summary`` with what was ``told`` of it (model, judge, matrix), the kinds, and counts ``kind->type``, or ``kind@score`` where each kind had its own judge; the other map is there and empty."""
+    pair = F.concat_ws("->", "kind", F.col("judged_type"))
+    types = _counted(samples, F.when(F.col("judged_type").isNotNull() & F.lit(not per_kind), pair), "confusion")
+    scores = _counted(samples, F.when(F.col("score").isNotNull() & F.lit(per_kind), F.concat(F.col("kind"), F.lit("@"), F.regexp_replace(F.format_string("%.6f", F.col("score").cast("double")), r"\.?0+$", ""))), "score_hist")
+    out = summary(samples, kinds).withColumns({"type": F.lit("summary"), "kinds": F.array(*map(F.lit, kinds)), **{k: F.lit(v) for k, v in told.items()}})
+    return out.crossJoin(types).crossJoin(scores)  # one row each

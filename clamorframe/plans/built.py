@@ -112,18 +112,29 @@ def json_last_wins(spark, sf_dir):
     return jsonl.last_with(lines, "k").select(F.get_json_object("value", "$.k").cast("long").alias("k"))
 
 
-def eval_run(spark, sf_dir):
-    """An evaluation from judges' replies to its summary; a second judge finds half of the repairs off and has not answered to a fifth."""
+def _samples(spark, sf_dir):
     rows = judged(spark, sf_dir).select("event_id", "kind", F.array(F.lit("x")).alias("lost"), F.when(F.col("event_id") % 11 == 0, "no json").otherwise(F.concat(F.lit('{"type": "'), "judged", F.lit('"}'))).alias("judged"), F.lit("a").alias("response"))
     second = rows.where("event_id % 3 = 1 and event_id % 5 <> 0").select("event_id", F.when(F.col("event_id") % 2 == 0, '{"type": "repair_off"}').otherwise('{"type": "repair"}').alias("answer"))
-    samples = E.by_type(E.split_responses(rows, False), second, "tree", "event_id")
+    return E.by_type(E.split_responses(rows, False), second, "tree", "event_id")
+
+
+def eval_record(spark, sf_dir):
+    """The summary line of the same run: its counts of kind and judged type, in order, as text."""
+    out = E.record(_samples(spark, sf_dir), model="m", score_matrix="tree")
+    shown = F.array_join(F.transform(F.map_entries("confusion"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), " ")
+    return out.select("type", "model", "score_matrix", F.array_join("kinds", ",").alias("kinds"), shown.alias("confusion"), F.size("score_hist").alias("n_scores"), "unanswered_rows")
+
+
+def eval_run(spark, sf_dir):
+    """An evaluation from judges' replies to its summary; a second judge finds half of the repairs off and has not answered to a fifth."""
+    samples = _samples(spark, sf_dir)
     out = E.summary(samples)
     return out.select(*(F.round(c, 6).alias(c) for c in ("C", "R", "F", "EAR")), "answer_rows", "repair_rows", "repeat_rows", "judge_parse_failures", "unanswered_rows", "unscored_rows")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (normalize_text, content_tokens, pair_assembly, skip_reasons, kind_counts, first_probes, piece_inventory_intersection, phrase_search, mask_phrase, leak_check, entity_extract, heard_reply_split, json_last_wins, eval_run)
+    for f in (normalize_text, content_tokens, pair_assembly, skip_reasons, kind_counts, first_probes, piece_inventory_intersection, phrase_search, mask_phrase, leak_check, entity_extract, heard_reply_split, json_last_wins, eval_run, eval_record)
 }
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -162,5 +173,6 @@ SQL = {
     "heard_reply_split": f"""WITH f AS (SELECT conv_id, turn, {_FORM_SQL} AS t FROM conversations WHERE text IS NOT NULL), s AS (SELECT *, regexp_matches(t, '(?is){_REPLY_RE}') AS two, regexp_extract(t, '(?is)^(.*?){_REPLY_RE}(.*)$', 1) AS a, regexp_extract(t, '(?is)^(.*?){_REPLY_RE}(.*)$', 2) AS b FROM f)
         SELECT conv_id, turn, CASE WHEN two THEN {_CLEAN(f"regexp_replace(a, '{_HEARD_RE}', '')")} ELSE '' END AS heard, CASE WHEN two THEN {_CLEAN('b')} ELSE trim(t, e' \\n\\t') END AS reply FROM s""",
     "json_last_wins": "SELECT (arg_max(props, event_id)->>'$.k')::BIGINT AS k FROM events WHERE json_contains(json_keys(props)::JSON, '\"k\"')",
+    "eval_record": f"WITH {_EVENTS_SQL}, c AS (SELECT kind || '->' || j AS l, count(*) AS n FROM s WHERE j IS NOT NULL GROUP BY ALL) SELECT 'summary' AS type, 'm' AS model, 'tree' AS score_matrix, 'answer,repair,repeat' AS kinds, string_agg(l || ':' || n, ' ' ORDER BY l) AS confusion, 0 AS n_scores, (SELECT unanswered_rows FROM m) AS unanswered_rows FROM c",
     "eval_run": f"WITH {_EVENTS_SQL} SELECT round(C, 6) AS C, round(R, 6) AS R, round(F, 6) AS F, round(CASE WHEN least(C, R, F) = 0 THEN 0 ELSE 3.0 / (1.0 / nullif(C, 0) + 1.0 / nullif(R, 0) + 1.0 / nullif(F, 0)) END, 6) AS EAR, answer_rows, repair_rows, repeat_rows, judge_parse_failures, unanswered_rows, unscored_rows FROM m",
 }

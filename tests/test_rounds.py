@@ -348,10 +348,15 @@ def test_a_missing_answer_is_an_error_row(spark):
     assert got == {1: ("repair_off", 0.0, False, False), 2: (None, None, True, False), 3: (None, None, True, False), 4: ("answer", 1.0, False, False), 5: ("repair", 0.0, False, False), 6: ("repair_off", 0.0, False, False)}
     total = E.summary(samples).first()
     assert (total["R"], total["repair_rows"], total["unanswered_rows"], total["unscored_rows"]) == (0.0, 3, 2, 0)
+    line = E.record(samples, model="m").first()
+    assert line["confusion"] == {"answer->answer": 1, "answer->repair_off": 1, "repair->repair_off": 1, "repeat->repair": 1}
+    assert line["score_hist"] == {} and (line["type"], line["model"]) == ("summary", "m")
     old = E.summary(E.by_type(judged, second, "legacy")).first()
     assert (old["unanswered_rows"], old["unscored_rows"]) == (1, 1)
     by_kind = E.summary(E.by_kind(judged.withColumn("judged", F.when(F.col("id") > 1, '{"score": 1}')))).first()
     assert (by_kind["unanswered_rows"], by_kind["R"]) == (1, 1.0)
+    line = E.record(E.by_kind(judged.withColumn("judged", F.when(F.col("id") > 1, '{"score": 0.5}'))), per_kind=True).first()
+    assert line["confusion"] == {} and line["score_hist"] == {"answer@0.5": 2, "repair@0.5": 2, "repeat@0.5": 1}
 
 
 # --- a stream
