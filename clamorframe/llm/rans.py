@@ -107,15 +107,32 @@ class Coder:
         return out[begin:end]
 
 
-def counter(tokenizer: str, end_id: int):
-    """How often each id occurs, one row an id for each task."""
+def id_type(tokenizer: str, end_id: int) -> str:
+    """The least unsigned type that holds the tokenizer's ids."""
+    return "<u2" if max(tokens.encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def id_writer(tokenizer: str, end_id: int, kind: str):
+    """Texts to their ids with the end id behind, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = tokens.encoder(tokenizer), np.zeros(0, np.int64)
+        coder = tokens.encoder(tokenizer)
         for batch in common.slices(batches, most=tokens.SLICE_BYTES):
-            ids, _ = coder.encode(*common.utf8(batch.column(0)))
-            more = np.bincount(ids, minlength=max(len(total), end_id + 1))
-            more[end_id] += batch.num_rows
+            ids, at = coder.encode(*common.utf8(batch.column(2)))
+            ids = np.insert(ids, at[1:], end_id).astype(kind)
+            edges = ((at + np.arange(len(at))) * ids.itemsize).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(edges), pa.py_buffer(ids)])], names=["doc_id", "_row", "ids"])
+
+    return run
+
+
+def counter(kind: str):
+    """How often each id occurs, one row an id for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            more = np.bincount(common.utf8(batch.column(0))[0].view(kind), minlength=len(total))
             more[: len(total)] += total
             total = more
         seen = np.flatnonzero(total)
@@ -124,11 +141,11 @@ def counter(tokenizer: str, end_id: int):
     return run
 
 
-def block_writer(tokenizer: str, end_id: int, table):
-    """Sorted (doc_id, text) to blocks; a task's blocks are numbered after its place in the sort."""
+def block_writer(table, kind: str):
+    """Sorted (doc_id, ids) to blocks; a task's blocks are numbered after its place in the sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, coder = tokens.encoder(tokenizer), Coder(table.value)
+        coder = Coder(table.value)
         part, number = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         docs: list[int | None] = []
@@ -140,11 +157,11 @@ def block_writer(tokenizer: str, end_id: int, table):
             arrays = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([checksum(payload, docs, lengths)], pa.int64()), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "block", "n_ids", "doc_ids", "lengths", "checksum", "payload"])
 
-        end = np.array([end_id], np.uint32)
-        for batch in common.slices(batches, most=tokens.SLICE_BYTES):
-            ids, at = words.encode(*common.utf8(batch.column(1)))
+        for batch in batches:
+            data, offsets = common.utf8(batch.column(1))
+            ids, at = data.view(kind), offsets // np.dtype(kind).itemsize
             for d, doc in enumerate(batch.column(0).to_pylist()):
-                held.append(np.concatenate([ids[at[d] : at[d + 1]], end]))
+                held.append(ids[at[d] : at[d + 1]])
                 docs.append(doc)
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
@@ -152,6 +169,7 @@ def block_writer(tokenizer: str, end_id: int, table):
                     held, docs, size, number = [], [], 0, number + 1
         if held:
             yield block()
+        common.give_back()
 
     return run
 
@@ -261,13 +279,17 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """Writes (blocks, frequency table) for all texts in order of doc_id, null first; a null text is the end id alone."""
     spark, path = docs.sparkSession, tokenizer or tokens.default_path()
-    counts = docs.select("text").mapInArrow(counter(path, end_id), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    freqs = common.cut(counts, "frequencies")
+    kind = id_type(path, end_id)
+    rows = common.with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_row", "text")
+    ids = common.cut(rows.mapInArrow(id_writer(path, end_id, kind), "doc_id long, _row long, ids binary"), "ids", "zstd")
+    freqs = common.cut(ids.select("ids").mapInArrow(counter(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")), "frequencies")
     table = spark.sparkContext.broadcast(read_table(freqs))
-    rows = common.with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    dealt = rows.repartitionByRange(F.col("doc_id"), F.col("_row")).sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
-    blocks = dealt.mapInArrow(block_writer(path, end_id, table), "part int, block int, n_ids long, doc_ids array<long>, lengths array<int>, checksum long, payload binary")
-    return common.cut(blocks, "blocks"), freqs
+    dealt = ids.repartitionByRange(F.col("doc_id"), F.col("_row")).sortWithinPartitions("doc_id", "_row").select("doc_id", "ids")
+    blocks = dealt.mapInArrow(block_writer(table, kind), "part int, block int, n_ids long, doc_ids array<long>, lengths array<int>, checksum long, payload binary")
+    blocks = common.cut(blocks, "blocks")
+    common.drop_cut(ids)
+    common.release_shuffles(spark)
+    return blocks, freqs
 
 
 def read_table(freqs: DataFrame) -> np.ndarray:
