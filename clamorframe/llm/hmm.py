@@ -269,9 +269,18 @@ def _expecter(model, states: int):
         m = model.value
         total = Expected(np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit))
         m = m.single()
+        # texts wait for others of like length, whatever batch they come with: a recursion takes as many steps as its longest text has tokens
+        held: dict[int, list[np.ndarray]] = {}
+        waiting: dict[int, int] = {}
         for batch in batches:
-            if batch.num_rows:
-                total.add(sum_expected(_symbols(batch.column(0)), m))
+            for text in _symbols(batch.column(0)) if batch.num_rows else ():
+                size = len(text).bit_length()
+                held.setdefault(size, []).append(text)
+                waiting[size] = waiting.get(size, 0) + len(text)
+                if waiting[size] >= TOKENS:
+                    waiting[size] = 0
+                    total.add(Texts(held.pop(size)).expect(m))
+        total.add(sum_expected([text for texts in held.values() for text in texts], m))
         seen = np.flatnonzero(total.emit.sum(axis=1))
         ids = np.concatenate([[-1, -2], -3 - np.arange(states), seen]).astype(np.int32)
         sums = np.zeros((1, states))
