@@ -24,8 +24,8 @@ from . import common, words
 TOP = 50
 #: Documents of a shard, and nodes that are opened together.
 SHARD, OPEN = 8192, 64
-#: Items that one pass over the documents answers; their terms go to each task.
-ITEMS = 1000
+#: Items, and characters of theirs, that one pass over the documents answers, as their terms go to each task; a longer item has a pass of its own.
+ITEMS, CHARACTERS = 1000, 4 << 20
 
 #: Fixed value: what a term is made of.
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -200,12 +200,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(items: DataFrame) -> Iterator[list]:
     """The items (item_id, text) in blocks; the driver holds no more than one and a partition."""
-    block = []
+    block, size = [], 0
     for row in items.select("item_id", "text").toLocalIterator():
         block.append(row)
-        if len(block) == ITEMS:
+        size += len(row["text"] or "")
+        if len(block) == ITEMS or size >= CHARACTERS:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 

@@ -74,6 +74,17 @@ def test_whole_results(spark, tmp_path, top):
     assert sorted(map(tuple, got.collect()), key=str) == ranked(docs, items, top)
 
 
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "ITEMS", 2)
+    monkeypatch.setattr(search, "CHARACTERS", 6)
+    docs = [(i, t) for i, t in enumerate(["ab cd", "cd", "ef ab", "gh", None])]
+    items = [(1, "ab"), (2, "cd ef"), (3, "gh ab cd"), (4, None), (5, "ef")]
+    table = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    assert [[r["item_id"] for r in b] for b in search._blocks(table)] == [[1, 2], [3], [4, 5]]
+    got = search.search(spark.createDataFrame(docs, "doc_id long, text string"), table)
+    assert sorted(map(tuple, got.collect()), key=str) == ranked(docs, items, 50)
+
+
 def test_empty_tables(spark):
     docs, items = (spark.createDataFrame([], s) for s in ("doc_id long, text string", "item_id long, text string"))
     one = spark.createDataFrame([(1, "a")], "item_id long, text string")
