@@ -160,9 +160,27 @@ def wrapped(docs: DataFrame) -> DataFrame:
     return with_row_key(docs.select(F.struct("*").alias("doc")))
 
 
+#: Steps of a plan that give a task its rows in the same order each time.
+STEADY = {"Project", "Filter", "SubqueryAlias", "View", "Union", "LogicalRelation", "LocalRelation", "LogicalRDD", "OneRowRelation"}
+
+
+def is_plain(docs: DataFrame) -> bool:
+    """Whether a frame is nothing but tables' rows, chosen and projected."""
+    nodes = [docs._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in STEADY:
+            return False
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """A key for each row, also for rows that are equal in all columns. The input must be a table, so that reruns of a task see its rows in the same order."""
+    """A key for each row, also for rows that are equal in all columns. What is no plain table, as rows behind a shuffle, whose order a rerun may change, is written to one first."""
     bound_batches(docs.sparkSession)
+    if not is_plain(docs):
+        docs = cut(docs, "input")
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
