@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clamorframe.llm import common, exact_dedup, lines, mixing, quality, rans, search, simhash, substrings
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, keep_id int, root string"
-LONG = " ".join(f"w{i % 7919}é" for i in range(30_000))
+LONG = " ".join(f"w{i}é" for i in range(30_000))
 ONE = "x" * 200_000
 TEXTS = [LONG, "  " + LONG.replace(" ", "\n"), ONE, ONE + "y", LONG[: len(LONG) // 2], None, "", "plain words " * 40]
 SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -66,7 +66,7 @@ def test_pipeline_takes_long_texts(docs):
     for r in got:
         own[r["doc_id"]] += r["length"]
         assert r["length"] <= 2048
-    assert set(own) <= {0, 1, 4, 7} and sum(own.values()) > 2048
+    assert set(own) <= {1, 4} and sum(own.values()) > 2048  # of equal texts the one with more white space stays; the others are short or repeat themselves
 
 
 def test_empty_tables(spark, tmp_path):
