@@ -26,6 +26,8 @@ STATES, HEAD, CLASSES, KNOWN = 8, 1 << 15, 1 << 11, 1 << 17
 ROUNDS, GAIN = 14, 2e-3
 #: Tokens that one recursion holds, and tokens whose hashes are counted together.
 TOKENS, COUNT_TOKENS = 500_000, 4_000_000
+#: Texts that go on at a step from which its moves are summed by itself.
+WIDE = 200
 END = np.uint64(1)
 PRIOR = 50.0
 
@@ -58,8 +60,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         h, cls = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        key, at, n = np.unique(h, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[at]), pa.array(n)], names=["h", "cls", "n"])
+        coded = pa.array(h.view(np.int64)).dictionary_encode()
+        at = coded.indices.to_numpy()
+        own = np.empty(len(coded.dictionary), np.int32)
+        own[at] = cls  # one class a word
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(own), pa.array(np.bincount(at, minlength=len(own)))], names=["h", "cls", "n"])
 
     for batch in common.slices(batches):
         h, cls, _ = tokens_of(batch.column(0))
@@ -154,10 +159,6 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
-    def single(self) -> Model:
-        """In single precision, half the memory to go through."""
-        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
-
 
 @dataclass
 class Expected:
@@ -198,17 +199,15 @@ class Texts:
     def _run(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Emissions, scaled states and scales of each token."""
         emit = m.emit[self.flat]
-        states, scales = np.empty_like(emit), np.empty((len(emit), 1), emit.dtype)
+        states, scales, one = np.empty_like(emit), np.empty((len(emit), 1)), np.ones((len(m.start), 1))
         edges = self.step.tolist()
         n = edges[1]
         a = np.multiply(emit[:n], m.start, out=states[:n])
-        np.sum(a, axis=1, keepdims=True, out=scales[:n])
-        a /= scales[:n]
+        a /= np.matmul(a, one, out=scales[:n])
         for s, e in zip(edges[1:-1], edges[2:], strict=True):
             a = np.matmul(a[: e - s], m.move, out=states[s:e])
             a *= emit[s:e]
-            c = np.sum(a, axis=1, keepdims=True, out=scales[s:e])
-            a /= c
+            a /= np.matmul(a, one, out=scales[s:e])
         return emit, states, scales
 
     def forward(self, m: Model) -> np.ndarray:
@@ -216,24 +215,29 @@ class Texts:
         return np.bincount(self.text, np.log10(self._run(m)[2][:, 0]), minlength=len(self.length))
 
     def expect(self, m: Model) -> Expected:
-        """Expected counts; the recursions, which are scaled at each token, in the model's precision, sums of texts' counts in double."""
         w, states, scales = self._run(m)
-        score = float(np.log10(scales, dtype=np.float64).sum())
+        score = float(np.log10(scales).sum())
         w /= scales
         k = len(m.start)
         b = np.ones_like(w)
         edges = self.step.tolist()
-        back = np.ascontiguousarray(m.move.T)
+        back, move = np.ascontiguousarray(m.move.T), np.zeros((k, k))
         for t in range(len(edges) - 2, 0, -1):
             s, e = edges[t], edges[t + 1]
+            before = slice(edges[t - 1], edges[t - 1] + e - s)
             x = w[s:e]
             x *= b[s:e]
-            np.matmul(x, back, out=b[edges[t - 1] : edges[t - 1] + e - s])
+            if e - s >= WIDE:
+                move += states[before].T @ x
+            np.matmul(x, back, out=b[before])
         n = edges[1]
-        before = self.text[n:] + np.repeat(self.step[:-2], self.live[1:])
-        move = states[before].T @ w[n:]
+        # the other steps, of few texts each, together
+        rest = edges[max(1, int(np.searchsorted(-self.live, -WIDE, side="right")))]
+        before = self.text[rest:] + np.repeat(self.step[:-2], self.live[1:])[rest - n :]
+        move += states[before].T @ w[rest:]
         states *= b
-        emit = np.stack([np.bincount(self.flat, states[:, i], minlength=len(m.emit)) for i in range(k)], axis=1)
+        symbol = self.flat.astype(np.intp)
+        emit = np.stack([np.bincount(symbol, states[:, i], minlength=len(m.emit)) for i in range(k)], axis=1)
         return Expected(states[:n].sum(axis=0), move * m.move, emit, score, float(len(self.flat)))
 
 
@@ -268,7 +272,6 @@ def _expecter(model, states: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         total = Expected(np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit))
-        m = m.single()
         # texts wait for others of like length, whatever batch they come with: a recursion takes as many steps as its longest text has tokens
         held: dict[int, list[np.ndarray]] = {}
         waiting: dict[int, int] = {}
