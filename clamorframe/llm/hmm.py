@@ -180,6 +180,18 @@ class Expected:
         return Model(start, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, n: int, width: int) -> np.ndarray:
+    """``n`` rows to write to, the same memory each time: fresh memory costs a process more than the sums that go there."""
+    have = _rooms.get(name)
+    if have is None or have.shape[1] != width or len(have) < n:
+        _rooms.pop(name, None)
+        have = _rooms[name] = np.empty((max(n, TOKENS + TOKENS // 8), width))
+    return have[:n]
+
+
 class Texts:
     """Symbols of some texts, the longest first, so that those still running at a step are a prefix.
 
@@ -198,8 +210,9 @@ class Texts:
 
     def _run(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Emissions, scaled states and scales of each token."""
-        emit = m.emit[self.flat]
-        states, scales, one = np.empty_like(emit), np.empty((len(emit), 1)), np.ones((len(m.start), 1))
+        size, k = len(self.flat), len(m.start)
+        emit, states, scales, one = _room("emit", size, k), _room("states", size, k), np.empty((size, 1)), np.ones((k, 1))
+        np.take(m.emit, self.flat, axis=0, out=emit, mode="clip")
         edges = self.step.tolist()
         n = edges[1]
         a = np.multiply(emit[:n], m.start, out=states[:n])
@@ -219,7 +232,8 @@ class Texts:
         score = float(np.log10(scales).sum())
         w /= scales
         k = len(m.start)
-        b = np.ones_like(w)
+        b = _room("behind", len(w), k)
+        b[:] = 1
         edges = self.step.tolist()
         back, move = np.ascontiguousarray(m.move.T), np.zeros((k, k))
         for t in range(len(edges) - 2, 0, -1):
@@ -289,6 +303,8 @@ def _expecter(model, states: int):
         sums = np.zeros((1, states))
         sums[0, :2] = total.score, total.symbols
         values = np.concatenate([total.start[None], sums, total.move, total.emit[seen]])
+        _rooms.clear()
+        common.give_back()
         yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(values[:, i].copy()) for i in range(states))], names=["symbol", *(f"e{i}" for i in range(states))])
 
     return run
