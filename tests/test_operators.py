@@ -112,6 +112,19 @@ def test_prefix_scores(spark):
     assert want == len(got)
 
 
+def test_pairs_of_a_long_row_are_dealt_out(spark):
+    """150 hypotheses of one row meet in blocks, each pair once."""
+    rng = random.Random(4)
+    hyps = [[rng.choice(["x", "yy", "z", "é", "w"]) for _ in range(rng.randrange(5))] for _ in range(150)]
+    codes = nbest.coded(spark.createDataFrame([(7, n, h) for n, h in enumerate(hyps)] + [(8, 0, ["x"])], "_row long, _n int, _words array<string>"))
+    assert {(r["_row"], r["_n"]): (len(r["_code"]), r["_size"]) for r in codes.collect()} == {**{(7, n): (len(h), len(h)) for n, h in enumerate(hyps)}, (8, 0): (1, 1)}
+    got = {r["_n"]: r["_apart"] for r in nbest.pair_distances(codes).collect()}
+    assert got == {n: pytest.approx(sum(_slow_distance(hyps[m], hyps[n]) for m in range(n))) for n in range(1, 150)}
+    rows = spark.createDataFrame([(1, "x yy", [" ".join(h) for h in hyps])], "id long, sentence string, hyps array<string>")
+    last = nbest.prefix_scores(rows).orderBy(F.desc("n_best")).first()
+    assert last["n_best"] == 150 and last["uniq"] == len({" ".join(h) for h in hyps})
+
+
 def test_mix_ratio():
     rng = np.random.default_rng(3)
     clean, clips = rng.normal(0, 0.05, 4000).astype(np.float32), [rng.normal(0, 1, n) for n in (900, 4000, 9000)]
