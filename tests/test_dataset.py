@@ -24,6 +24,19 @@ def test_a_costly_build_stops_in_time(spark):
     assert kept.count() == 2 and passed.count() == 7
 
 
+def test_rare_successes_take_few_blocks(spark):
+    """A success in a hundred: blocks grow with what one has taken so far, and the same rows are kept and passed."""
+    asked = []
+
+    def build(block):
+        asked.append(block.count())
+        return block.select("seq", F.when(F.col("seq") % 100 > 0, "probe").alias("reason"))
+
+    kept, passed = quota.until(spark.range(1, 2001).select(F.col("id").alias("seq")), build, 4, "seq")
+    assert sorted(r["seq"] for r in kept.collect()) == [100, 200, 300, 400] and passed.count() == 400
+    assert len(asked) <= 4
+
+
 def test_stages_share_claims(spark):
     """Utterance 5 starves, 7's repair leaks in every try, 8 is short, 2 has two recordings."""
     said = lambda i: f"turn on the lamp {i}" if i != 8 else "lamp on"
